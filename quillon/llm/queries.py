@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces
+from . import pieces, shards
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -31,6 +31,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, tokenizer_path(), keep=["doc_id"], results=["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 24, its slot there, and its shard of 25."""
+    return shards.assign(table(spark, sf_dir, "documents"), shards=24)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
