@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, shards
+from . import balance, pieces, shards
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -36,6 +36,11 @@ def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document."""
+    return balance.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
