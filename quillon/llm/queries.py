@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balance, pieces, shards
+from . import balance, pieces, shards, simhash
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -36,6 +36,11 @@ def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint over 3-word shingles and its component of links within 2 bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
+
+
 def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes of every document."""
     return balance.mix(table(spark, sf_dir, "documents"))
