@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import balance, pieces, shards, simhash
+from . import balance, pieces, shards, simhash, toxic
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -41,6 +42,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score and prediction."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxic.score(docs, toxic.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxic.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes of every document."""
     return balance.mix(table(spark, sf_dir, "documents"))
