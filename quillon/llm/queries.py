@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balance, pieces, shards, simhash, toxic
+from . import balance, crosspoly, pieces, shards, simhash, toxic
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -32,6 +32,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, tokenizer_path(), keep=["doc_id"], results=["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every 20th vector."""
+    return crosspoly.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 24, its slot there, and its shard of 25."""
     return shards.assign(table(spark, sf_dir, "documents"), shards=24)
