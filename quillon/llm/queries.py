@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balance, crosspoly, mtree, pieces, shards, simhash, toxic
+from . import balance, crosspoly, mtree, pieces, shards, simhash, template, toxic
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -47,6 +47,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op6_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return template.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 largest whole-number inner products of every 50th vector."""
     return mtree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
