@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balance, crosspoly, mtree, pieces, shards, simhash, template, toxic
+from . import balance, crosspoly, mtree, pieces, shards, simhash, template, toxic, url_rules
 
+# The rules that come before mined ones.
+GIVEN_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 TOKENIZER = "piece_bpe_32k.model"
 
 
@@ -32,6 +34,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, tokenizer_path(), keep=["doc_id"], results=["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every page's url. A page's label is that of the document of its number."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), "quality")
+    return url_rules.filter_urls(table(spark, sf_dir, "pages"), labels, GIVEN_RULES)
+
+
 def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found for every 20th vector."""
     return crosspoly.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
