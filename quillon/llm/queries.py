@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balance, crosspoly, mtree, pieces, shards, simhash, template, toxic, url_rules
+from . import balance, crosspoly, fmindex, mtree, pieces, shards, simhash, template, toxic, url_rules
 
 # The rules that come before mined ones.
 GIVEN_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -77,6 +77,11 @@ def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that repeated windows of 35 words cover."""
+    return fmindex.digests(table(spark, sf_dir, "documents"), window=35)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
