@@ -272,7 +272,7 @@ def encode(df: DataFrame, model_file: str, text: str = "text", keep: Iterable[st
         sha = lambda s: hashlib.sha256(s).hexdigest()
         for batch in slices(batches):
             rows: dict[str, list] = {c: [] for c in results}
-            for value in batch.column("_text").to_pylist():
+            for value in batch.column(text).cast(pa.string()).to_pylist():
                 ids = model.encode(value)
                 decoded = model.decode(ids) if "decoded" in rows or "decoded_sha256" in rows else ""
                 for c, got in rows.items():
@@ -286,7 +286,7 @@ def encode(df: DataFrame, model_file: str, text: str = "text", keep: Iterable[st
                     )
             yield pa.RecordBatch.from_arrays([batch.column(c).cast(out.field(c).type) for c in keep] + [pa.array(rows[c], out.field(c).type) for c in results], schema=out)
 
-    return df.select(*keep, df[text].cast("string").alias("_text")).mapInArrow(run, schema)
+    return df.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, model_file: str, ids: str = "ids", keep: Iterable[str] = (), result: str = "decoded") -> DataFrame:

@@ -156,8 +156,9 @@ class _Forest:
         return True
 
 
-def linked(points: np.ndarray, home: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest, as index pairs, of the links within the radius that touch a resident."""
+def linked(points: np.ndarray, home: np.ndarray, radius: int, sizes: np.ndarray | None = None, ratio: float = 0.0) -> list[tuple[int, int]]:
+    """A spanning forest, as index pairs, of the links within the radius that touch a resident. With
+    sizes, a link's smaller size must be at least ratio of the larger."""
     forest, edges = _Forest(len(points)), []
     residents, visitors = np.flatnonzero(home), np.flatnonzero(~home)
     stack = [(residents, visitors)]
@@ -172,7 +173,10 @@ def linked(points: np.ndarray, home: np.ndarray, radius: int) -> list[tuple[int,
                 block = everyone[at : at + (1 << 14)]
                 for first in range(0, len(own), LEAF):
                     some = own[first : first + LEAF]
-                    a, b = np.nonzero(_distance(points[block][:, None], points[some][None, :]) <= radius)
+                    near_by = _distance(points[block][:, None], points[some][None, :]) <= radius
+                    if sizes is not None:
+                        near_by &= np.minimum(sizes[block][:, None], sizes[some][None, :]) >= ratio * np.maximum(sizes[block][:, None], sizes[some][None, :])
+                    a, b = np.nonzero(near_by)
                     for i, j in zip(block[a].tolist(), some[b].tolist(), strict=True):
                         if i != j and forest.join(i, j):
                             edges.append((i, j))
@@ -224,5 +228,112 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", widt
     return rows.hint("merge").join(classes.hint("merge"), "fp").select(doc, hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+# --- a wide radius ----------------------------------------------------------------------------------
+# Beyond a few bits, triangle bounds prune nothing among 64-bit fingerprints. Texts that similar share
+# their least shingles in many orders, though: each of VIEWS orders deals a text to the shard of its
+# LEAST least shingles, and the vantage-point search runs within shards. A pair with a Jaccard
+# similarity of 0.8 misses all 16 shards with a probability of about 0.00002.
+
+VIEWS, LEAST = 16, 3
+
+
+def _sketch(text: str | None, width: int) -> tuple[int, int, list[int]]:
+    """Fingerprint, number of shingles and the shard of each view of a text."""
+    blocks = list(shingle_hashes(text, width))
+    if not blocks:
+        return 0, 0, []
+    total, counts, least = 0, np.zeros(64, dtype=np.int64), np.empty((VIEWS, 0), dtype=np.uint64)
+    factors = (np.arange(VIEWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    for h in blocks:
+        total += len(h)
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        for at in range(0, len(h), 4096):
+            some = h[at : at + 4096][None, :] * factors[:, None]
+            some ^= some >> np.uint64(31)
+            some = np.concatenate([least, some * np.uint64(0x94D049BB133111EB)], axis=1)
+            least = np.sort(np.partition(some, LEAST - 1, axis=1)[:, :LEAST] if some.shape[1] > LEAST else some, axis=1)
+    key = np.arange(1, VIEWS + 1, dtype=np.uint64)
+    for k in range(least.shape[1]):
+        key = (key ^ least[:, k]) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(29)
+    fp = int(((counts * 2 > total).astype(np.uint64) << _BITS).sum(dtype=np.uint64))
+    return fp, total, key.view(np.int64).tolist()
+
+
+def sketches(df: DataFrame, text: str, keep: tuple[str, ...], width: int) -> DataFrame:
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("views", T.ArrayType(T.LongType()))])
+    out = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [_sketch(t, width) for t in batch.column("_text").to_pylist()]
+            fp = pa.array(np.array([f[0] for f in found], dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(c).cast(out.field(c).type) for c in keep] + [fp, pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], out.field("views").type)], schema=out)
+
+    return df.select(*keep, df[text].cast("string").alias("_text")).mapInArrow(run, schema)
+
+
+def _linked_runs(radius: int, ratio: float):
+    """Links within each run of rows with one view (rows are sorted by view)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def finish() -> pa.RecordBatch | None:
+            nonlocal held
+            k1, fp, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+            held = []
+            if len(fp) < 2:
+                return None
+            points = fp.view(np.uint64)
+            if len(fp) == 2:
+                edges = [(0, 1)] if np.bitwise_count(points[0] ^ points[1]) <= radius and n.min() >= ratio * n.max() else []
+            else:
+                edges = linked(points, np.ones(len(fp), dtype=bool), radius, n, ratio)
+            if not edges:
+                return None
+            i, j = (np.array(e) for e in zip(*edges, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[i], fp[i], k1[j], fp[j])], names=["k1a", "fpa", "k1b", "fpb"])
+
+        last = None
+        for batch in batches:
+            view, *rest = (batch.column(c).to_numpy() for c in ("view", "k1", "fp", "n"))
+            cuts = np.concatenate([[0], np.flatnonzero(view[1:] != view[:-1]) + 1, [len(view)]])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if held and view[a] != last and (out := finish()) is not None:
+                    yield out
+                held.append(tuple(x[a:b] for x in rest))
+                last = view[a]
+        if held and (out := finish()) is not None:
+            yield out
+
+    return run
+
+
+def representatives(df: DataFrame, text: str = "text", doc: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """df with one row of each class of near-duplicates, that of the least id. Texts link if they share a
+    view's shard, their fingerprints agree in that share of the bits, and their lengths could have that
+    Jaccard similarity. Texts without a shingle (null, empty) are one class."""
+    radius = int(64 * (1 - similarity) + 1e-9)
+    keyed = df.withColumns({"_k1": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "_k2": F.xxhash64(doc)})
+    rows = materialize(sketches(keyed.select(text, F.col(doc).alias("id"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2")), text, ("id", "k1", "k2"), width))
+    texts = materialize(rows.groupBy("k1", "fp", "n", "views").agg(F.min(F.struct("id", "k2")).alias("least")))
+    views = texts.select(F.explode("views").alias("view"), "k1", "fp", "n")
+    shared = views.groupBy("view").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("view")
+    met = views.hint("merge").join(shared.hint("merge"), "view").repartition("view").sortWithinPartitions("view")
+    found = met.mapInArrow(_linked_runs(radius, similarity), "k1a long, fpa long, k1b long, fpb long")
+
+    def node(k: str, fp: str) -> Column:
+        return F.concat(F.hex(k), F.lit("-"), F.hex(fp))
+
+    reached = components(found.select(node("k1a", "fpa").alias("a"), node("k1b", "fpb").alias("b")))
+    classes = texts.withColumn("node", node("k1", "fp")).hint("merge").join(reached.hint("merge"), "node", "left")
+    # Wordless texts have fingerprint 0 and no view; they are one class whatever their white space.
+    root = F.when(F.col("n") == 0, F.lit("")).otherwise(F.coalesce("root", "node"))
+    stay = classes.groupBy(root.alias("root")).agg(F.min(F.struct("least", "k1")).alias("best")).select(F.col("best.k1").alias("_k1"), F.col("best.least.k2").alias("_k2"))
+    kept = keyed.hint("merge").join(stay.hint("merge"), ["_k1", "_k2"])
+    return kept.dropDuplicates(["_k1", "_k2"]).select(*df.columns)
+
+
 def hex16(bits: Column) -> Column:
     return F.lower(F.lpad(F.hex(bits), 16, "0"))

@@ -299,7 +299,7 @@ def score(documents: DataFrame, model: Model, keep: Iterable[str] = ("doc_id",),
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            scores = [model.score(t) for t in batch.column("_text").to_pylist()]
+            scores = [model.score(t) for t in batch.column(text).cast(pa.string()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c).cast(out.field(c).type) for c in keep] + [pa.array(scores, pa.float64())], schema=out)
 
-    return documents.select(*keep, documents[text].cast("string").alias("_text")).mapInArrow(run, schema)
+    return documents.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
