@@ -27,8 +27,14 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return _queries
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _oracles
+
+
+def _load() -> None:
+    from . import functions, relational, text, windows  # noqa: F401
