@@ -59,6 +59,11 @@ def _rate(cap: float) -> Column:
     return F.when(F.col("size") == 0, F.lit(0.0)).when(F.col("full"), F.lit(cap)).otherwise(F.exp(F.least(F.col("lam") * z, F.lit(math.log(cap)))))
 
 
+def _exact_sum(x: Column) -> Column:
+    """A sum that doesn't depend on the order of its terms, so that reruns agree to the last digit."""
+    return F.sum(x.cast("decimal(38,10)")).cast("double")
+
+
 def _newton(hist: DataFrame, state: DataFrame, cap: float) -> DataFrame:
     """state with each source's lambda."""
     top = F.lit(math.log(cap))
@@ -68,7 +73,7 @@ def _newton(hist: DataFrame, state: DataFrame, cap: float) -> DataFrame:
         sums = (
             hist.join(state.filter("not full").select("sid", "lam", "mean"), "sid")
             .groupBy("sid")
-            .agg(F.sum(mass).alias("f"), F.sum(F.when(tilt < top, mass * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"))
+            .agg(_exact_sum(mass).alias("f"), _exact_sum(F.when(tilt < top, mass * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"))
         )
         gap = F.log("f") - F.log("target")
         state = state.drop("f", "gap").join(sums, "sid", "left").withColumn("gap", F.when(F.col("full"), 0.0).otherwise(gap))
@@ -131,8 +136,10 @@ def _extra() -> Column:
     return F.when(part < cut, F.col("size")).when(part == cut, F.col("at_cut")).otherwise(F.lit(0).cast("long"))
 
 
-def sized_rows(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    return df.select(F.col(doc).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")).withColumn("u", _draw("doc_id", "source", "size"))
+def sized_rows(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", row: bool = False) -> DataFrame:
+    """doc_id, source, size and draw of each document, and the whole row as a struct if wanted."""
+    whole = [F.struct(*df.columns).alias("row")] if row else []
+    return df.select(*whole, F.col(doc).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")).withColumn("u", _draw("doc_id", "source", "size"))
 
 
 def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -146,8 +153,7 @@ def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
 def mixed_copies(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, a partial copy rounded to the nearer
     number. Texts are read once more, not shuffled."""
-    names = df.columns
-    rows = df.withColumn("size", word_count(F.col("text"))).withColumn("u", _draw("doc_id", "source", "size"))
-    rows = _tilted(rows, plan(materialize(sized_rows(df)), weights, share, cap), cap)
+    sized = sized_rows(df, row=True)
+    rows = _tilted(sized, plan(materialize(sized_rows(df)), weights, share, cap), cap)
     copies = F.col("whole") + F.when(F.col("size") > 0, F.round(_extra() / F.col("size"))).otherwise(F.lit(0.0))
-    return rows.withColumn("copies", copies.cast("int")).filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    return rows.withColumn("copies", copies.cast("int")).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

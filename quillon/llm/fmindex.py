@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, materialize, slices
+from .common import arrow_schema, discard, materialize, slices
 
 #: Words of a window and of a gram; rows of a minimizer beyond which its windows are dealt singly.
 WINDOW, GRAM, FREQUENT = 35, 8, 2000
@@ -194,8 +194,10 @@ def repeated(texts: list[np.ndarray], window: int, context: int = CONTEXT) -> li
 
 
 def _keyed(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """df with (k1, k2): rows that share them have the same id and text, and so the same result."""
-    return df.withColumns({"k1": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "k2": F.xxhash64(F.col(doc), F.length(text))})
+    """doc and text with (k1, k2), which rows of the same id and text, and so the same result, share; and
+    the whole row as a struct."""
+    k1, k2 = F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.xxhash64(F.col(doc), F.length(text))
+    return df.select(F.col(doc).alias("doc"), F.col(text).alias("text"), k1.alias("k1"), k2.alias("k2"), F.struct(*df.columns).alias("row"))
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -206,32 +208,32 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _light(keyed: DataFrame, doc: str, text: str) -> DataFrame:
+def _light(keyed: DataFrame) -> DataFrame:
     """doc, k1, k2, n_words and the digest of all words."""
-    schema = T.StructType([keyed.schema[doc], *(T.StructField(c, T.LongType()) for c in ("k1", "k2", "n_words")), T.StructField("sha", T.StringType())])
+    schema = T.StructType([keyed.schema["doc"], *(T.StructField(c, T.LongType()) for c in ("k1", "k2", "n_words")), T.StructField("sha", T.StringType())])
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words = [_words(t) for t in batch.column("_text").to_pylist()]
+            words = [_words(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(out.field(0).type), batch.column("k1"), batch.column("k2"), pa.array([len(w) for w in words], pa.int64()), pa.array([_sha(w) for w in words])], schema=out)
 
-    return keyed.select(doc, "k1", "k2", F.col(text).alias("_text")).mapInArrow(run, schema)
+    return keyed.select("doc", "k1", "k2", "text").mapInArrow(run, schema)
 
 
-def _runs(keyed: DataFrame, text: str, window: int, gram: int) -> DataFrame:
+def _runs(keyed: DataFrame, window: int, gram: int) -> DataFrame:
     names = ["h", "k1", "k2", "first", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            parts = [minimizer_runs(_words(t), window, gram) for t in batch.column("_text").to_pylist()]
+            parts = [minimizer_runs(_words(t), window, gram) for t in batch.column("text").to_pylist()]
             n = [len(p[0]) for p in parts]
             if sum(n):
                 h, first, last = (np.concatenate([p[k] for p in parts]) for k in range(3))
                 k1, k2 = (np.repeat(batch.column(c).to_numpy(), n) for c in ("k1", "k2"))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, k1, k2, first, last)], names=names)
 
-    return keyed.select("k1", "k2", F.col(text).alias("_text")).mapInArrow(run, "h long, k1 long, k2 long, first int, last int")
+    return keyed.select("k1", "k2", "text").mapInArrow(run, "h long, k1 long, k2 long, first int, last int")
 
 
 def _stretches(candidates: DataFrame, shards: int, window: int) -> DataFrame:
@@ -287,15 +289,16 @@ def find(df: DataFrame, doc: str = "doc_id", text: str = "text", window: int = W
     """(rows, changed): every row's doc, k1, k2, n_words, sha and whether its text has copies; and for
     each text without copies that loses words its k1, k2, kept text, digest and number of words lost."""
     keyed = _keyed(df, doc, text)
-    light = materialize(_light(keyed, doc, text))
+    light = materialize(_light(keyed))
     copies = materialize(light.groupBy("k1").agg(F.min("k2").alias("k2"), F.count(F.lit(1)).alias("copies")))
-    runs = materialize(_runs(keyed, text, window, gram))
+    runs = materialize(_runs(keyed, window, gram))
     often = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", (F.col("n") > frequent).alias("frequent"))
     stays = runs.hint("merge").join(often.hint("merge"), "h")
     one = copies.select("k1", "k2", F.least("copies", F.lit(2).cast("long")).alias("weight"))
     wanted = stays.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last", "h", "frequent")).alias("runs"))
     wanted = materialize(wanted.join(one, ["k1", "k2"]))
-    candidates = materialize(keyed.select("k1", "k2", F.col(text).alias("text")).hint("merge").join(wanted.hint("merge"), ["k1", "k2"]))
+    discard(runs)
+    candidates = materialize(keyed.select("k1", "k2", "text").hint("merge").join(wanted.hint("merge"), ["k1", "k2"]))
     words = candidates.select(F.explode("runs").alias("r")).agg(F.sum(F.col("r.last") - F.col("r.first") + window)).first()[0] or 0
     stretches = materialize(_stretches(candidates, max(1, -(-words // shard_words)), window))
     marks = [F.xxhash64("stretch").alias("s1"), F.xxhash64("stretch", F.lit(1)).alias("s2")]
@@ -304,8 +307,10 @@ def find(df: DataFrame, doc: str = "doc_id", text: str = "text", window: int = W
     places = stretches.filter("weight = 1").select(*marks, "k1", "k2", "at")
     ranges = places.hint("merge").join(hits.hint("merge"), ["s1", "s2"]).groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))).alias("ranges"))
     changed = candidates.select("k1", "k2", "text").dropDuplicates(["k1", "k2"]).hint("merge").join(ranges.hint("merge"), ["k1", "k2"]).mapInArrow(_cut, "k1 long, k2 long, kept string, sha string, lost long")
+    changed = materialize(changed)
+    discard(wanted, candidates, stretches)
     has = copies.select("k1", F.col("copies").alias("_n"))
-    return light.hint("merge").join(has.hint("merge"), "k1").withColumn("copied", (F.col("_n") > 1) & (F.col("n_words") >= window)).drop("_n"), materialize(changed)
+    return light.hint("merge").join(has.hint("merge"), "k1").withColumn("copied", (F.col("_n") > 1) & (F.col("n_words") >= window)).drop("_n"), changed
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,12 +340,13 @@ def digests(df: DataFrame, doc: str = "doc_id", text: str = "text", window: int
     """doc, n_words, n_removed and the digest of the kept words of every row."""
     rows = _settled(find(df, doc, text, window, **settings))
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
-    return rows.select(doc, "n_words", _lost().alias("n_removed"), F.when(F.col("copied"), nothing).otherwise(F.coalesce("_sha", "sha")).alias("kept_sha256"))
+    return rows.select(F.col("doc").alias(doc), "n_words", _lost().alias("n_removed"), F.when(F.col("copied"), nothing).otherwise(F.coalesce("_sha", "sha")).alias("kept_sha256"))
 
 
 def remove_repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, **settings: int) -> DataFrame:
     """df with the words that repeated windows cover removed from its text. A text that loses words has
     the rest joined by single spaces; others stay as they are."""
     rows = _settled(find(df, doc, text, window, **settings), "kept").filter("copied or lost > 0").select("k1", "k2", "copied", "kept").dropDuplicates(["k1", "k2"])
-    new = F.when(F.col("copied"), F.lit("")).otherwise(F.coalesce("kept", text))
-    return _keyed(df, doc, text).hint("merge").join(rows.hint("merge"), ["k1", "k2"], "left").withColumn(text, new).select(*df.columns)
+    new = F.when(F.col("copied"), F.lit("")).otherwise(F.coalesce(F.col("kept"), F.col("row").getField(text)))
+    found = _keyed(df, doc, text).select("row", "k1", "k2").hint("merge").join(rows.hint("merge"), ["k1", "k2"], "left")
+    return found.select(*[new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns])

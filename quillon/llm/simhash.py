@@ -315,8 +315,8 @@ def representatives(df: DataFrame, text: str = "text", doc: str = "doc_id", widt
     view's shard, their fingerprints agree in that share of the bits, and their lengths could have that
     Jaccard similarity. Texts without a shingle (null, empty) are one class."""
     radius = int(64 * (1 - similarity) + 1e-9)
-    keyed = df.withColumns({"_k1": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "_k2": F.xxhash64(doc)})
-    rows = materialize(sketches(keyed.select(text, F.col(doc).alias("id"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2")), text, ("id", "k1", "k2"), width))
+    keyed = df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("text"), F.col(doc).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_k1"), F.xxhash64(doc).alias("_k2"))
+    rows = materialize(sketches(keyed.select("text", "id", F.col("_k1").alias("k1"), F.col("_k2").alias("k2")), "text", ("id", "k1", "k2"), width))
     texts = materialize(rows.groupBy("k1", "fp", "n", "views").agg(F.min(F.struct("id", "k2")).alias("least")))
     views = texts.select(F.explode("views").alias("view"), "k1", "fp", "n")
     shared = views.groupBy("view").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("view")
@@ -331,8 +331,8 @@ def representatives(df: DataFrame, text: str = "text", doc: str = "doc_id", widt
     # Wordless texts have fingerprint 0 and no view; they are one class whatever their white space.
     root = F.when(F.col("n") == 0, F.lit("")).otherwise(F.coalesce("root", "node"))
     stay = classes.groupBy(root.alias("root")).agg(F.min(F.struct("least", "k1")).alias("best")).select(F.col("best.k1").alias("_k1"), F.col("best.least.k2").alias("_k2"))
-    kept = keyed.hint("merge").join(stay.hint("merge"), ["_k1", "_k2"])
-    return kept.dropDuplicates(["_k1", "_k2"]).select(*df.columns)
+    kept = keyed.select("row", "_k1", "_k2").hint("merge").join(stay.hint("merge"), ["_k1", "_k2"])
+    return kept.dropDuplicates(["_k1", "_k2"]).select("row.*")
 
 
 def hex16(bits: Column) -> Column:
