@@ -15,7 +15,7 @@ and a component without any id has component_id null. Repeated rows are answered
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -156,9 +156,9 @@ class _Forest:
         return True
 
 
-def linked(points: np.ndarray, home: np.ndarray, radius: int, sizes: np.ndarray | None = None, ratio: float = 0.0) -> list[tuple[int, int]]:
-    """A spanning forest, as index pairs, of the links within the radius that touch a resident. With
-    sizes, a link's smaller size must be at least ratio of the larger."""
+def linked(points: np.ndarray, home: np.ndarray, radius: int, similar: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest, as index pairs, of the links within the radius that touch a resident; similar
+    tells which of the pairs within the radius are links, all if it is None."""
     forest, edges = _Forest(len(points)), []
     residents, visitors = np.flatnonzero(home), np.flatnonzero(~home)
     stack = [(residents, visitors)]
@@ -173,10 +173,16 @@ def linked(points: np.ndarray, home: np.ndarray, radius: int, sizes: np.ndarray
                 block = everyone[at : at + (1 << 14)]
                 for first in range(0, len(own), LEAF):
                     some = own[first : first + LEAF]
-                    near_by = _distance(points[block][:, None], points[some][None, :]) <= radius
-                    if sizes is not None:
-                        near_by &= np.minimum(sizes[block][:, None], sizes[some][None, :]) >= ratio * np.maximum(sizes[block][:, None], sizes[some][None, :])
-                    a, b = np.nonzero(near_by)
+                    a, b = np.nonzero(_distance(points[block][:, None], points[some][None, :]) <= radius)
+                    if similar is not None:
+                        # Pairs that are connected already need no look.
+                        of_block, of_some = (np.array([forest.root(i) for i in part.tolist()]) for part in (block, some))
+                        new = of_block[a] != of_some[b]
+                        a, b = a[new], b[new]
+                        for start in range(0, len(a), BLOCK):
+                            fits = similar(block[a[start : start + BLOCK]], some[b[start : start + BLOCK]])
+                            a[start : start + BLOCK][~fits] = -1
+                        a, b = a[a >= 0], b[a >= 0]
                     for i, j in zip(block[a].tolist(), some[b].tolist(), strict=True):
                         if i != j and forest.join(i, j):
                             edges.append((i, j))
@@ -229,26 +235,35 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", widt
 
 
 # --- a wide radius ----------------------------------------------------------------------------------
-# Beyond a few bits, triangle bounds prune nothing among 64-bit fingerprints. Texts that similar share
-# their least shingles in many orders, though: each of VIEWS orders deals a text to the shard of its
-# LEAST least shingles, and the vantage-point search runs within shards. A pair with a Jaccard
-# similarity of 0.8 misses all 16 shards with a probability of about 0.00002.
+# Beyond a few bits, triangle bounds prune nothing among 64-bit fingerprints. Similar texts share their
+# least shingles in many orders, though: each of VIEWS orders deals a text to the shard of its LEAST
+# least shingles, and the vantage-point search runs within shards. A pair with a Jaccard similarity of
+# 0.8 misses all 16 shards with a probability of about 0.00002. The fingerprints that it finds within
+# WIDE bits are links if a signature of BINS least shingles, one of each range of hash values, agrees
+# with the similarity up to MARGIN; its standard error at 0.8 is 0.035, and less for short texts.
 
-VIEWS, LEAST = 16, 3
+VIEWS, LEAST, WIDE, BINS, MARGIN = 16, 3, 16, 128, 0.05
+_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
 
 
-def _sketch(text: str | None, width: int) -> tuple[int, int, list[int]]:
-    """Fingerprint, number of shingles and the shard of each view of a text."""
+def _sketch(text: str | None, width: int) -> tuple[int, int, list[int], bytes]:
+    """Fingerprint, number of shingles, shard of each view and signature of a text."""
     blocks = list(shingle_hashes(text, width))
     if not blocks:
-        return 0, 0, []
+        return 0, 0, [], bytes(BINS)
     total, counts, least = 0, np.zeros(64, dtype=np.int64), np.empty((VIEWS, 0), dtype=np.uint64)
+    lowest = np.full(BINS, 2**64 - 1, dtype=np.uint64)
     factors = (np.arange(VIEWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
     for h in blocks:
         total += len(h)
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        for at in range(0, len(h), 4096):
-            some = h[at : at + 4096][None, :] * factors[:, None]
+        ordered = np.sort(h)
+        at = np.searchsorted(ordered, _EDGES)
+        there = np.flatnonzero(at < len(ordered))
+        there = there[ordered[at[there]] >> np.uint64(57) == there.astype(np.uint64)]
+        lowest[there] = np.minimum(lowest[there], ordered[at[there]])
+        for start in range(0, len(h), 4096):
+            some = h[start : start + 4096][None, :] * factors[:, None]
             some ^= some >> np.uint64(31)
             some = np.concatenate([least, some * np.uint64(0x94D049BB133111EB)], axis=1)
             least = np.sort(np.partition(some, LEAST - 1, axis=1)[:, :LEAST] if some.shape[1] > LEAST else some, axis=1)
@@ -257,39 +272,49 @@ def _sketch(text: str | None, width: int) -> tuple[int, int, list[int]]:
         key = (key ^ least[:, k]) * np.uint64(0xBF58476D1CE4E5B9)
         key ^= key >> np.uint64(29)
     fp = int(((counts * 2 > total).astype(np.uint64) << _BITS).sum(dtype=np.uint64))
-    return fp, total, key.view(np.int64).tolist()
+    # One byte of each bin's least value, 0 for an empty bin.
+    signature = np.where(lowest == np.uint64(2**64 - 1), 0, lowest % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    return fp, total, key.view(np.int64).tolist(), signature.tobytes()
+
+
+def estimated(signatures: np.ndarray, similarity: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether pairs of texts, by index, may have that Jaccard similarity."""
+
+    def similar(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = signatures[i], signatures[j]
+        return ((a == b) & (a > 0)).sum(axis=1) >= (similarity - MARGIN) * ((a > 0) | (b > 0)).sum(axis=1)
+
+    return similar
 
 
 def sketches(df: DataFrame, text: str, keep: tuple[str, ...], width: int) -> DataFrame:
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("views", T.ArrayType(T.LongType()))])
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("views", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [_sketch(t, width) for t in batch.column("_text").to_pylist()]
             fp = pa.array(np.array([f[0] for f in found], dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(c).cast(out.field(c).type) for c in keep] + [fp, pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], out.field("views").type)], schema=out)
+            yield pa.RecordBatch.from_arrays([batch.column(c).cast(out.field(c).type) for c in keep] + [fp, pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], out.field("views").type), pa.array([f[3] for f in found], pa.binary())], schema=out)
 
     return df.select(*keep, df[text].cast("string").alias("_text")).mapInArrow(run, schema)
 
 
-def _linked_runs(radius: int, ratio: float):
+def _linked_runs(similarity: float):
     """Links within each run of rows with one view (rows are sorted by view)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[pa.RecordBatch] = []
 
         def finish() -> pa.RecordBatch | None:
             nonlocal held
-            k1, fp, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+            rows = pa.Table.from_batches(held)
             held = []
-            if len(fp) < 2:
+            if rows.num_rows < 2:
                 return None
-            points = fp.view(np.uint64)
-            if len(fp) == 2:
-                edges = [(0, 1)] if np.bitwise_count(points[0] ^ points[1]) <= radius and n.min() >= ratio * n.max() else []
-            else:
-                edges = linked(points, np.ones(len(fp), dtype=bool), radius, n, ratio)
+            k1, fp = (rows.column(c).to_numpy() for c in ("k1", "fp"))
+            signatures = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+            edges = linked(fp.view(np.uint64), np.ones(len(fp), dtype=bool), WIDE, estimated(signatures, similarity))
             if not edges:
                 return None
             i, j = (np.array(e) for e in zip(*edges, strict=True))
@@ -297,12 +322,12 @@ def _linked_runs(radius: int, ratio: float):
 
         last = None
         for batch in batches:
-            view, *rest = (batch.column(c).to_numpy() for c in ("view", "k1", "fp", "n"))
+            view = batch.column("view").to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero(view[1:] != view[:-1]) + 1, [len(view)]])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if held and view[a] != last and (out := finish()) is not None:
                     yield out
-                held.append(tuple(x[a:b] for x in rest))
+                held.append(batch.slice(a, b - a))
                 last = view[a]
         if held and (out := finish()) is not None:
             yield out
@@ -312,16 +337,15 @@ def _linked_runs(radius: int, ratio: float):
 
 def representatives(df: DataFrame, text: str = "text", doc: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """df with one row of each class of near-duplicates, that of the least id. Texts link if they share a
-    view's shard, their fingerprints agree in that share of the bits, and their lengths could have that
-    Jaccard similarity. Texts without a shingle (null, empty) are one class."""
-    radius = int(64 * (1 - similarity) + 1e-9)
+    view's shard, their fingerprints are near and their signatures have that Jaccard similarity. Texts
+    without a shingle (null, empty) are one class."""
     keyed = df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("text"), F.col(doc).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_k1"), F.xxhash64(doc).alias("_k2"))
     rows = materialize(sketches(keyed.select("text", "id", F.col("_k1").alias("k1"), F.col("_k2").alias("k2")), "text", ("id", "k1", "k2"), width))
-    texts = materialize(rows.groupBy("k1", "fp", "n", "views").agg(F.min(F.struct("id", "k2")).alias("least")))
-    views = texts.select(F.explode("views").alias("view"), "k1", "fp", "n")
-    shared = views.groupBy("view").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("view")
+    texts = materialize(rows.groupBy("k1", "fp", "n").agg(F.min(F.struct("id", "k2", "views", "sig")).alias("least")))
+    views = texts.select(F.explode("least.views").alias("view"), "k1", "fp", F.col("least.sig").alias("sig"))
+    shared = views.select("view").groupBy("view").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("view")
     met = views.hint("merge").join(shared.hint("merge"), "view").repartition("view").sortWithinPartitions("view")
-    found = met.mapInArrow(_linked_runs(radius, similarity), "k1a long, fpa long, k1b long, fpb long")
+    found = met.mapInArrow(_linked_runs(similarity), "k1a long, fpa long, k1b long, fpb long")
 
     def node(k: str, fp: str) -> Column:
         return F.concat(F.hex(k), F.lit("-"), F.hex(fp))
