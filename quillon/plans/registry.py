@@ -37,4 +37,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import functions, relational, text, windows  # noqa: F401
+    from . import functions, relational, storage, text, windows  # noqa: F401

@@ -6,6 +6,7 @@ import io
 import zipfile
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,8 +86,6 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
     """Members of the zip files at a path, each archive read by one task."""
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
         for pdf in batches:
             for name, content in zip(pdf["name"], pdf["data"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -98,7 +97,6 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
 
 def zip_bytes(name: Column, data: Column) -> Column:
     """An aggregate: a zip archive of the members of a group."""
-    import pandas as pd
 
     @F.pandas_udf("binary")
     def build(names: pd.Series, datas: pd.Series) -> bytes:
