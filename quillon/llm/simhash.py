@@ -27,10 +27,11 @@ from pyspark.sql import types as T
 from .common import arrow_schema, materialize, slices
 from .components import components
 
-#: Fingerprints on which the top of the tree is fitted, and those that a shard aims at.
-SAMPLE, SHARD = 8192, 20_000
-#: Residents at which the tree ends, and the most shards.
-LEAF, SHARDS = 48, 4096
+#: Fingerprints that a shard aims at, and the most shards. The top of the tree is fitted on 64
+#: fingerprints for each shard, SAMPLE at most (2 MB).
+SHARD, SHARDS, SAMPLE = 20_000, 1 << 16, 1 << 18
+#: Residents at which the tree ends.
+LEAF = 48
 #: Shingles that are hashed at a time.
 BLOCK = 1 << 16
 _BITS = np.arange(64, dtype=np.uint64)
@@ -202,7 +203,7 @@ def links(distinct: DataFrame, radius: int = 2, sample: int = SAMPLE, shard: int
     total = distinct.count()
     wanted = min(SHARDS, max(1, -(-total // shard)))
     # The least hashes are a sample that does not depend on how the rows are dealt.
-    drawn = [r[0] for r in distinct.select("fp", F.xxhash64("fp").alias("h")).orderBy("h", "fp").limit(sample).collect()] if wanted > 1 else []
+    drawn = [r[0] for r in distinct.select("fp", F.xxhash64("fp").alias("h")).orderBy("h", "fp").limit(min(sample, 64 * wanted)).collect()] if wanted > 1 else []
     nodes = fit_top(np.array(drawn, dtype=np.int64).view(np.uint64), -(-len(drawn) // wanted)) if drawn else []
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,0 +1,18 @@
+"""The queries that SQL expresses, against DuckDB."""
+
+import duckdb
+import pytest
+
+from quillon.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query(spark, name):
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = duck.sql(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, SF).toPandas()[list(want.columns)]
+    assert sorted(map(tuple, got.itertuples(index=False))) == sorted(map(tuple, want.itertuples(index=False)))
