@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,8 +58,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
-    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+_owner: list = ["", None]
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """Say that this Python worker now works for an operator: what another one has remembered in it is
+    forgotten, so that a worker that Spark uses again and again holds one operator's memory only."""
+    if _owner[0] != owner:
+        if _owner[1] is not None:
+            _owner[1]()
+            gc.collect()
+        _owner[:] = [owner, clear]
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:

@@ -29,12 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, discard, materialize, slices
+from .common import arrow_schema, claim, discard, materialize, slices
 
 #: Words of a window and of a gram; rows of a minimizer beyond which its windows are dealt singly.
 WINDOW, GRAM, FREQUENT = 35, 8, 2000
 #: Words that a shard aims at, and words whose hashes a worker remembers.
-SHARD_WORDS, REMEMBERED = 400_000, 300_000
+SHARD_WORDS, REMEMBERED = 400_000, 150_000
 #: Words of context by which suffixes are sorted; no longer match is followed at once.
 CONTEXT = 64
 
@@ -225,6 +225,7 @@ def _runs(keyed: DataFrame, window: int, gram: int) -> DataFrame:
     names = ["h", "k1", "k2", "first", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("fmindex", _hashes.clear)
         for batch in slices(batches):
             parts = [minimizer_runs(_words(t), window, gram) for t in batch.column("text").to_pylist()]
             n = [len(p[0]) for p in parts]
@@ -292,12 +293,13 @@ def find(df: DataFrame, doc: str = "doc_id", text: str = "text", window: int = W
     light = materialize(_light(keyed))
     copies = materialize(light.groupBy("k1").agg(F.min("k2").alias("k2"), F.count(F.lit(1)).alias("copies")))
     runs = materialize(_runs(keyed, window, gram))
-    often = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", (F.col("n") > frequent).alias("frequent"))
+    # Written, so that both sides of the join are plain shuffles, whose skewed partitions Spark splits.
+    often = materialize(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", (F.col("n") > frequent).alias("frequent")))
     stays = runs.hint("merge").join(often.hint("merge"), "h")
     one = copies.select("k1", "k2", F.least("copies", F.lit(2).cast("long")).alias("weight"))
     wanted = stays.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last", "h", "frequent")).alias("runs"))
     wanted = materialize(wanted.join(one, ["k1", "k2"]))
-    discard(runs)
+    discard(runs, often)
     candidates = materialize(keyed.select("k1", "k2", "text").hint("merge").join(wanted.hint("merge"), ["k1", "k2"]))
     words = candidates.select(F.explode("runs").alias("r")).agg(F.sum(F.col("r.last") - F.col("r.first") + window)).first()[0] or 0
     stretches = materialize(_stretches(candidates, max(1, -(-words // shard_words)), window))

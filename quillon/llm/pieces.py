@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import arrow_schema, slices
+from .common import arrow_schema, claim, slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Most chunks (twice) and token pairs that one Python worker remembers.
-REMEMBERED, REMEMBERED_PAIRS = 250_000, 600_000
+REMEMBERED, REMEMBERED_PAIRS = 120_000, 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -238,6 +238,7 @@ _models: dict[bytes, PieceModel] = {}
 
 def model_of(data: bytes) -> PieceModel:
     """The model of a file's bytes, built once in each Python worker."""
+    claim("pieces", _models.clear)
     key = hashlib.sha256(data).digest()
     if key not in _models:
         _models[key] = PieceModel(data)

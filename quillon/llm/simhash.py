@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, materialize, slices
+from .common import arrow_schema, claim, materialize, slices
 from .components import components
 
 #: Fingerprints that a shard aims at, and the most shards. The top of the tree is fitted on 64
@@ -293,6 +293,7 @@ def sketches(df: DataFrame, text: str, keep: tuple[str, ...], width: int) -> Dat
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash", lambda: None)
         for batch in slices(batches):
             found = [_sketch(t, width) for t in batch.column("_text").to_pylist()]
             fp = pa.array(np.array([f[0] for f in found], dtype=np.uint64).view(np.int64))

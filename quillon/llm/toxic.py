@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import arrow_schema, slices
+from .common import arrow_schema, claim, slices
 
 #: Labelled rows of each class from which the model is learned, and the most terms it holds.
 TRAINING_ROWS, TERMS = 3000, 4000
@@ -34,7 +34,7 @@ TRAINING_ROWS, TERMS = 3000, 4000
 #: log odds; shortest and longest stems; words that a stem begins.
 RATIO, ODDS, STEM, BRANCHES = 12.0, 2.5, (3, 8), 3
 #: Words on each side of a hit that tell its context; states and words that a worker remembers.
-WINDOW, STATES, WORDS = 8, 100_000, 200_000
+WINDOW, STATES, WORDS = 8, 20_000, 100_000
 # Marks that surround words, marks of quotation, reporting words, address.
 EDGES = ".,;:!?%*#$&|()[]{}<>\"'`~_-+=/\\“”„«»‘’…"
 OPEN, CLOSE, EVEN = "“„«", "”»", '"'
@@ -298,6 +298,7 @@ def score(documents: DataFrame, model: Model, keep: Iterable[str] = ("doc_id",),
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxic", lambda: None)
         for batch in slices(batches):
             scores = [model.score(t) for t in batch.column(text).cast(pa.string()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c).cast(out.field(c).type) for c in keep] + [pa.array(scores, pa.float64())], schema=out)
