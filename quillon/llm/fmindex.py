@@ -254,14 +254,14 @@ def _stretches(candidates: DataFrame, shards: int, window: int) -> DataFrame:
 
         for batch in slices(batches, 64):
             for k1, k2, weight, text, runs in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "weight", "text", "runs")), strict=True):
-                words = text.split(" ") if text.isascii() and "\n" not in text and "\t" not in text and "  " not in text else [w.decode() for w in text.encode().split()]
+                words = _words(text)
                 for r in runs:
                     if r["frequent"]:
                         cuts = [(x, x + window) for x in range(r["first"], r["last"] + 1)]
                     else:
                         cuts = [(r["first"], r["last"] + window)]
                     for a, b in cuts:
-                        stretch = " ".join(words[a:b])
+                        stretch = b" ".join(words[a:b]).decode()
                         shard = (xxh64_intdigest(stretch) if r["frequent"] else r["h"] * 0x9E3779B97F4A7C15 >> 20) % shards
                         for column, value in zip(rows, (shard, stretch, weight, k1, k2, a), strict=True):
                             column.append(value)

@@ -120,6 +120,19 @@ def test_substring_dedup(spark):
     assert sorted(map(tuple, short), key=str) == naive_repeats(rows, 12)
 
 
+def test_substring_dedup_splits_at_all_white_space(spark):
+    passage = [f"p{i}" for i in range(50)]
+    texts = [" " + " ".join(["one", *passage, "two"]), " ".join(["three", *passage, "four"]), "x\ry z " + " ".join(passage)]
+    texts += [f"{w}five{c}six {' '.join(passage[:45])}{c}seven{w}" for w, c in (("a", "\x0b"), ("b", "\x0c"))]
+    # Not white space in bytes, though str.split() cuts there.
+    texts.append("eight\x1cnine " + " ".join(passage))
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    got = fmindex.digests(spark.createDataFrame(rows, SHAPE)).collect()
+    assert sorted(map(tuple, got), key=str) == naive_repeats(rows, 35)
+    kept = fmindex.remove_repeats(spark.createDataFrame(rows, SHAPE)).collect()
+    assert [r["text"] for r in sorted(kept)] == ["one two", "three four", "x y z", "afive sevena", "bfive sevenb", "eight\x1cnine"]
+
+
 def test_substring_removal_keeps_the_rest(spark):
     passage = " ".join(f"p{i}" for i in range(40))
     rows = [(1, f"one  two\n{passage} three", "k"), (2, f"{passage} four", "k"), (3, "five  six", None), (4, None, None)]
