@@ -258,16 +258,17 @@ def _sketch(text: str | None, width: int) -> tuple[int, int, list[int], bytes]:
     for h in blocks:
         total += len(h)
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        ordered = np.sort(h)
-        at = np.searchsorted(ordered, _EDGES)
-        there = np.flatnonzero(at < len(ordered))
-        there = there[ordered[at[there]] >> np.uint64(57) == there.astype(np.uint64)]
-        lowest[there] = np.minimum(lowest[there], ordered[at[there]])
-        for start in range(0, len(h), 4096):
-            some = h[start : start + 4096][None, :] * factors[:, None]
-            some ^= some >> np.uint64(31)
-            some = np.concatenate([least, some * np.uint64(0x94D049BB133111EB)], axis=1)
-            least = np.sort(np.partition(some, LEAST - 1, axis=1)[:, :LEAST] if some.shape[1] > LEAST else some, axis=1)
+    # A view is of the set of shingles: how often a text repeats one does not matter.
+    ordered = np.unique(np.concatenate(blocks))
+    at = np.searchsorted(ordered, _EDGES)
+    there = np.flatnonzero(at < len(ordered))
+    there = there[ordered[at[there]] >> np.uint64(57) == there.astype(np.uint64)]
+    lowest[there] = ordered[at[there]]
+    for start in range(0, len(ordered), 4096):
+        some = ordered[start : start + 4096][None, :] * factors[:, None]
+        some ^= some >> np.uint64(31)
+        some = np.concatenate([least, some * np.uint64(0x94D049BB133111EB)], axis=1)
+        least = np.sort(np.partition(some, LEAST - 1, axis=1)[:, :LEAST] if some.shape[1] > LEAST else some, axis=1)
     key = np.arange(1, VIEWS + 1, dtype=np.uint64)
     for k in range(least.shape[1]):
         key = (key ^ least[:, k]) * np.uint64(0xBF58476D1CE4E5B9)

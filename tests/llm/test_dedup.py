@@ -95,6 +95,13 @@ def test_representatives(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == [3, 4, 7, 10]
 
 
+def test_representatives_of_repeated_text(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 10**6, 200)) for _ in range(12)]
+    rows = [(i, t, "a") for i, t in enumerate(texts)] + [(100 + i, f"{t} {t}", "a") for i, t in enumerate(texts)]
+    assert sorted(r["doc_id"] for r in simhash.representatives(spark.createDataFrame(rows, SHAPE)).collect()) == list(range(12))
+
+
 def naive_repeats(rows, window):
     words = [(i, t.encode().split() if t else []) for i, t, _ in rows]
     count = collections.Counter(tuple(w[j : j + window]) for _, w in words for j in range(len(w) - window + 1))
