@@ -157,9 +157,8 @@ class _Forest:
         return True
 
 
-def linked(points: np.ndarray, home: np.ndarray, radius: int, similar: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """A spanning forest, as index pairs, of the links within the radius that touch a resident; similar
-    tells which of the pairs within the radius are links, all if it is None."""
+def linked(points: np.ndarray, home: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest, as index pairs, of the links within the radius that touch a resident."""
     forest, edges = _Forest(len(points)), []
     residents, visitors = np.flatnonzero(home), np.flatnonzero(~home)
     stack = [(residents, visitors)]
@@ -175,15 +174,6 @@ def linked(points: np.ndarray, home: np.ndarray, radius: int, similar: Callable[
                 for first in range(0, len(own), LEAF):
                     some = own[first : first + LEAF]
                     a, b = np.nonzero(_distance(points[block][:, None], points[some][None, :]) <= radius)
-                    if similar is not None:
-                        # Pairs that are connected already need no look.
-                        of_block, of_some = (np.array([forest.root(i) for i in part.tolist()]) for part in (block, some))
-                        new = of_block[a] != of_some[b]
-                        a, b = a[new], b[new]
-                        for start in range(0, len(a), BLOCK):
-                            fits = similar(block[a[start : start + BLOCK]], some[b[start : start + BLOCK]])
-                            a[start : start + BLOCK][~fits] = -1
-                        a, b = a[a >= 0], b[a >= 0]
                     for i, j in zip(block[a].tolist(), some[b].tolist(), strict=True):
                         if i != j and forest.join(i, j):
                             edges.append((i, j))
@@ -235,15 +225,16 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", widt
     return rows.hint("merge").join(classes.hint("merge"), "fp").select(doc, hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-# --- a wide radius ----------------------------------------------------------------------------------
+# --- similar texts ----------------------------------------------------------------------------------
 # Beyond a few bits, triangle bounds prune nothing among 64-bit fingerprints. Similar texts share their
 # least shingles in many orders, though: each of VIEWS orders deals a text to the shard of its LEAST
-# least shingles, and the vantage-point search runs within shards. A pair with a Jaccard similarity of
-# 0.8 misses all 16 shards with a probability of about 0.00002. The fingerprints that it finds within
-# WIDE bits are links if a signature of BINS least shingles, one of each range of hash values, agrees
-# with the similarity up to MARGIN; its standard error at 0.8 is 0.035, and less for short texts.
+# least shingles. A pair with a Jaccard similarity of 0.8 misses all 16 shards with a probability of
+# about 0.00002 (0.0003 for four shingles of five). Texts of one shard are candidates if a signature of
+# BINS least shingles, one of each range of hash values, agrees with the similarity up to MARGIN, seven
+# times its standard error at 0.8. The components of the candidates then get their members' whole sets
+# of shingles, and texts link if the Jaccard similarity of these is high enough.
 
-VIEWS, LEAST, WIDE, BINS, MARGIN = 16, 3, 16, 128, 0.05
+VIEWS, LEAST, BINS, MARGIN = 16, 3, 128, 0.25
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
 
 
@@ -279,14 +270,53 @@ def _sketch(text: str | None, width: int) -> tuple[int, int, list[int], bytes]:
     return fp, total, key.view(np.int64).tolist(), signature.tobytes()
 
 
-def estimated(signatures: np.ndarray, similarity: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Whether pairs of texts, by index, may have that Jaccard similarity."""
+def _classes(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The first member of each member's class; near tells which of some members link to one."""
+    first, left = np.arange(n), np.arange(n)
+    while len(left):
+        start, left, reach = left[0], left[1:], [left[0]]
+        while reach and len(left):
+            hit = near(reach.pop(), left)
+            first[left[hit]] = start
+            reach += left[hit].tolist()
+            left = left[~hit]
+    return first
 
-    def similar(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        a, b = signatures[i], signatures[j]
-        return ((a == b) & (a > 0)).sum(axis=1) >= (similarity - MARGIN) * ((a > 0) | (b > 0)).sum(axis=1)
 
-    return similar
+def estimated(signatures: np.ndarray, similarity: float) -> np.ndarray:
+    """The first member of each member's class of texts whose signatures may have that similarity."""
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        a, out = signatures[i], np.empty(len(others), dtype=bool)
+        for at in range(0, len(others), BLOCK):
+            b = signatures[others[at : at + BLOCK]]
+            out[at : at + BLOCK] = ((a == b) & (a > 0)).sum(axis=1) >= (similarity - MARGIN) * ((a > 0) | (b > 0)).sum(axis=1)
+        return out
+
+    return _classes(len(signatures), near)
+
+
+def confirmed(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The first member of each member's class of sets (distinct values) linked by their exact Jaccard
+    similarity. Postings of each value count what a set shares with all others."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    values, number = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[np.argsort(number, kind="stable")]
+    until = np.cumsum(np.bincount(number, minlength=len(values)))
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        shared = np.zeros(len(sets), dtype=np.int64)
+        mine = number[ends[i] - sizes[i] : ends[i]]
+        from_, to = np.where(mine > 0, until[mine - 1], 0), until[mine]
+        for at in range(0, len(mine), 64):
+            n = (to - from_)[at : at + 64]
+            place = np.arange(int(n.sum())) + np.repeat(from_[at : at + 64] - (np.cumsum(n) - n), n)
+            shared += np.bincount(owner[place], minlength=len(sets))
+        common = shared[others]
+        return common >= similarity * (sizes[i] + sizes[others] - common) - 1e-9
+
+    return _classes(len(sets), near)
 
 
 def sketches(df: DataFrame, text: str, keep: tuple[str, ...], width: int) -> DataFrame:
@@ -303,58 +333,82 @@ def sketches(df: DataFrame, text: str, keep: tuple[str, ...], width: int) -> Dat
     return df.select(*keep, df[text].cast("string").alias("_text")).mapInArrow(run, schema)
 
 
-def _linked_runs(similarity: float):
-    """Links within each run of rows with one view (rows are sorted by view)."""
+def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[pa.RecordBatch]]:
+    """The runs of rows with one value in a column that the rows are sorted by."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        value = batch.column(column).to_numpy(zero_copy_only=False)
+        cuts = np.concatenate([[0], np.flatnonzero(value[1:] != value[:-1]) + 1, [len(value)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a == b:
+                continue
+            if held and value[a] != last:
+                yield held
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = value[a]
+    if held:
+        yield held
+
+
+def _candidates(similarity: float):
+    """A forest of the candidates within each run of rows with one view (rows are sorted by view)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def finish() -> pa.RecordBatch | None:
-            nonlocal held
+        for held in _runs(batches, "view"):
             rows = pa.Table.from_batches(held)
-            held = []
             if rows.num_rows < 2:
-                return None
-            k1, fp = (rows.column(c).to_numpy() for c in ("k1", "fp"))
-            signatures = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
-            edges = linked(fp.view(np.uint64), np.ones(len(fp), dtype=bool), WIDE, estimated(signatures, similarity))
-            if not edges:
-                return None
-            i, j = (np.array(e) for e in zip(*edges, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[i], fp[i], k1[j], fp[j])], names=["k1a", "fpa", "k1b", "fpb"])
-
-        last = None
-        for batch in batches:
-            view = batch.column("view").to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(view[1:] != view[:-1]) + 1, [len(view)]])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if held and view[a] != last and (out := finish()) is not None:
-                    yield out
-                held.append(batch.slice(a, b - a))
-                last = view[a]
-        if held and (out := finish()) is not None:
-            yield out
+                continue
+            first = estimated(np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, BINS), similarity)
+            j = np.flatnonzero(first != np.arange(len(first)))
+            if len(j):
+                k1, fp = (rows.column(c).to_numpy() for c in ("k1", "fp"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[first[j]], fp[first[j]], k1[j], fp[j])], names=["k1a", "fpa", "k1b", "fpb"])
+
+    return run
+
+
+def _confirmed_runs(width: int, similarity: float):
+    """The class of each text within each component of candidates (rows are sorted by component)."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(np.concatenate(list(shingle_hashes(t, width)))) for t in batch.column("text").to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("node"), pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(np.concatenate(sets)))], names=["component", "node", "set"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _runs(shingled(batches), "component"):
+            nodes = [n for b in held for n in b.column("node").to_pylist()]
+            first = confirmed([s.values.to_numpy() for b in held for s in b.column("set")], similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array([nodes[i] for i in first.tolist()], pa.string())], names=["node", "root"])
 
     return run
 
 
 def representatives(df: DataFrame, text: str = "text", doc: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """df with one row of each class of near-duplicates, that of the least id. Texts link if they share a
-    view's shard, their fingerprints are near and their signatures have that Jaccard similarity. Texts
-    without a shingle (null, empty) are one class."""
+    view's shard, or others that lead from one to the other do, and their sets of shingles have that Jaccard
+    similarity. Texts without a shingle (null, empty) are one class."""
     keyed = df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("text"), F.col(doc).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_k1"), F.xxhash64(doc).alias("_k2"))
     rows = materialize(sketches(keyed.select("text", "id", F.col("_k1").alias("k1"), F.col("_k2").alias("k2")), "text", ("id", "k1", "k2"), width))
     texts = materialize(rows.groupBy("k1", "fp", "n").agg(F.min(F.struct("id", "k2", "views", "sig")).alias("least")))
     views = texts.select(F.explode("least.views").alias("view"), "k1", "fp", F.col("least.sig").alias("sig"))
     shared = views.select("view").groupBy("view").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("view")
     met = views.hint("merge").join(shared.hint("merge"), "view").repartition("view").sortWithinPartitions("view")
-    found = met.mapInArrow(_linked_runs(similarity), "k1a long, fpa long, k1b long, fpb long")
+    found = met.mapInArrow(_candidates(similarity), "k1a long, fpa long, k1b long, fpb long")
 
     def node(k: str, fp: str) -> Column:
         return F.concat(F.hex(k), F.lit("-"), F.hex(fp))
 
-    reached = components(found.select(node("k1a", "fpa").alias("a"), node("k1b", "fpb").alias("b")))
-    classes = texts.withColumn("node", node("k1", "fp")).hint("merge").join(reached.hint("merge"), "node", "left")
+    alike = components(found.select(node("k1a", "fpa").alias("a"), node("k1b", "fpb").alias("b"))).withColumnRenamed("root", "component")
+    named = texts.withColumn("node", node("k1", "fp"))
+    members = named.select("node", F.col("k1").alias("_k1"), F.col("least.k2").alias("_k2")).hint("merge").join(alike.hint("merge"), "node")
+    whole = keyed.select("_k1", "_k2", F.col("text").cast("string").alias("text")).hint("merge").join(members.hint("merge"), ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
+    dealt = whole.select("component", "node", "text").repartition("component").sortWithinPartitions("component", "node")
+    reached = materialize(dealt.mapInArrow(_confirmed_runs(width, similarity), "node string, root string"))
+    classes = named.hint("merge").join(reached.hint("merge"), "node", "left")
     # Wordless texts have fingerprint 0 and no view; they are one class whatever their white space.
     root = F.when(F.col("n") == 0, F.lit("")).otherwise(F.coalesce("root", "node"))
     stay = classes.groupBy(root.alias("root")).agg(F.min(F.struct("least", "k1")).alias("best")).select(F.col("best.k1").alias("_k1"), F.col("best.least.k2").alias("_k2"))

@@ -102,6 +102,26 @@ def test_representatives_of_repeated_text(spark):
     assert sorted(r["doc_id"] for r in simhash.representatives(spark.createDataFrame(rows, SHAPE)).collect()) == list(range(12))
 
 
+def test_representatives_by_exact_similarity(spark):
+    rows = []
+    for i in range(120):
+        # 450 shingles each: 400 shared are a similarity of 0.8, 395 of 0.78.
+        same = (400 if i % 2 else 395) + 4
+        words = [f"w{i}.{j}" for j in range(454)]
+        rows += [(2 * i, " ".join(words), "a"), (2 * i + 1, " ".join(words[:same] + [f"{w}x" for w in words[same:]]), "a")]
+    got = {r["doc_id"] for r in simhash.representatives(spark.createDataFrame(rows, SHAPE)).collect()}
+    assert got == {i for i, _, _ in rows if i % 4 != 3}
+
+
+def test_confirmed_against_brute_force():
+    rng = np.random.default_rng(9)
+    base = [set(rng.integers(0, 2**62, 40).tolist()) for _ in range(4)]
+    sets = [set(list(base[i % 4])[: rng.integers(25, 41)]) | set(rng.integers(0, 2**62, rng.integers(0, 12)).tolist()) for i in range(80)]
+    links = [(i, j) for i in range(80) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    got = simhash.confirmed([np.array(sorted(s), dtype=np.uint64) for s in sets], 0.8)
+    assert dict(enumerate(got.tolist())) == classes(range(80), links)
+
+
 def naive_repeats(rows, window):
     words = [(i, t.encode().split() if t else []) for i, t, _ in rows]
     count = collections.Counter(tuple(w[j : j + window]) for _, w in words for j in range(len(w) - window + 1))
