@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -83,7 +83,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, vector id, score) of each query's k best rows, exact and with ties by id.
+    """(query id, place of the row, score) of each query's k best rows, exact and with ties by id.
 
     Block products only select; the scores are sums in one order for every row, so that equal vectors
     score equally."""
@@ -103,7 +103,7 @@ def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: n
             exact = (vectors[rows] * some[r]).sum(axis=1)
             take = np.lexsort((ids[rows], -exact))[:k]
             out_q.append(np.full(len(take), some_ids[r]))
-            out_v.append(ids[rows[take]])
+            out_v.append(order[rows[take]])
             out_s.append(exact[take])
     if not out_q:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
@@ -114,16 +114,18 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vec
     """query_id, rank, vec_id, score: each query's k nearest rows found, by inner product."""
     rows = df.filter(F.col(id).isNotNull() & valid(F.col(vector))).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     length = common_length(rows, "v")
-    rows = rows.filter(F.size("v") == length)
+    # Rows are told apart by id and copy, so that one that several tables find counts once.
+    copy = F.row_number().over(Window.partitionBy("id").orderBy("v"))
+    rows = materialize(rows.filter(F.size("v") == length).withColumn("copy", copy))
     turn = Rotations(max(1, length), tables)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _unit(_matrix(batch.column("v"), length))
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(turn.axes(x, t).astype(np.int32)), batch.column("id"), batch.column("v")], names=["t", "axis", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(turn.axes(x, t).astype(np.int32)), batch.column("id"), batch.column("copy"), batch.column("v")], names=["t", "axis", "id", "copy", "v"])
 
-    buckets = rows.select("id", "v").mapInArrow(hashed, "t int, axis int, id long, v array<double>")
+    buckets = rows.select("id", "copy", "v").mapInArrow(hashed, "t int, axis int, id long, copy int, v array<double>")
     # One row for each table and axis: their number depends on the vectors' length alone.
     counts = {(r["t"], r["axis"]): r["count"] for r in buckets.groupBy("t", "axis").count().collect()}
     total = sum(n for (t, _), n in counts.items() if t == 0)
@@ -140,7 +142,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vec
         for batch in hashed(batches):
             t, axis, ids = (batch.column(c).to_numpy() for c in ("t", "axis", "id"))
             part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % slices[t, axis]
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket(t, axis, part)), pa.array(np.zeros(len(ids), bool)), batch.column("id"), batch.column("v")], names=["bucket", "query", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket(t, axis, part)), pa.array(np.zeros(len(ids), bool)), batch.column("id"), batch.column("copy"), batch.column("v")], names=["bucket", "query", "id", "copy", "v"])
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +162,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vec
                 part = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
                 for at in range(0, len(who), 1 << 14):
                     some = pa.array(who[at : at + (1 << 14)])
-                    yield pa.RecordBatch.from_arrays([pa.array(_bucket(np.full(len(some), t), axis[at : at + (1 << 14)], part[at : at + (1 << 14)])), pa.array(np.ones(len(some), bool)), batch.column("id").take(some), batch.column("v").take(some)], names=["bucket", "query", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_bucket(np.full(len(some), t), axis[at : at + (1 << 14)], part[at : at + (1 << 14)])), pa.array(np.ones(len(some), bool)), batch.column("id").take(some), batch.column("copy").take(some), batch.column("v").take(some)], names=["bucket", "query", "id", "copy", "v"])
 
     def _bucket(t: np.ndarray, axis: np.ndarray, part: np.ndarray) -> np.ndarray:
         return (part.astype(np.int64) * tables + t) * (2 * turn.size) + axis
@@ -168,17 +170,18 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vec
     def meet(group: pa.Table) -> pa.Table:
         query = group.column("query").to_numpy()
         ids, x = group.column("id").to_numpy(), _matrix(group.column("v").combine_chunks(), length)
-        q, v, s = best(x[query], ids[query], x[~query], ids[~query], k)
-        return pa.table({"query_id": q, "vec_id": v, "score": s})
+        q, at, s = best(x[query], ids[query], x[~query], ids[~query], k)
+        copies = group.column("copy").to_numpy()[~query]
+        return pa.table({"query_id": q, "vec_id": ids[~query][at], "copy": copies[at], "score": s})
 
-    shape = "bucket long, query boolean, id long, v array<double>"
-    both = rows.select("id", "v").mapInArrow(sliced, shape).union(rows.filter("q").select("id", "v").mapInArrow(probed, shape))
-    found = both.groupBy("bucket").applyInArrow(meet, "query_id long, vec_id long, score double")
-    return ranked(found, k)
+    shape = "bucket long, query boolean, id long, copy int, v array<double>"
+    both = rows.select("id", "copy", "v").mapInArrow(sliced, shape).union(rows.filter("q").select("id", "copy", "v").mapInArrow(probed, shape))
+    found = both.groupBy("bucket").applyInArrow(meet, "query_id long, vec_id long, copy int, score double")
+    return ranked(found.distinct(), k)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each query among those found in any bucket. Each bucket has kept k rows of a
-    query, so that a query's rows are bounded by its probes."""
-    top = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k)
-    return found.groupBy("query_id").agg(top.alias("top")).select("query_id", F.posexplode("top").alias("place", "r")).select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("r.vec_id").alias("vec_id"), (-F.col("r.minus")).alias("score"))
+    """The k best rows of each query among those found, where each row is found once. Each bucket has
+    kept k rows of a query, so that a query's rows are bounded by its probes."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

@@ -79,3 +79,20 @@ def test_mtree_prunes_and_counts_exactly():
 
 def test_mtree_empty(spark):
     assert mtree.search(spark.createDataFrame([], SHAPE), F.lit(True)).count() == 0
+
+
+def test_repeated_rows_count_each(spark):
+    rows = data()[1][:120]
+    rows[7], rows[9] = ((i, [2 * a for a in rows[0][1]], 1) for i in (7, 9))
+    rows += [rows[7]] * 6 + [rows[9]] * 2
+    ids = np.array([r[0] for r in rows])
+    df = spark.createDataFrame(rows, SHAPE)
+    for scale, search in ((256, mtree.search), (None, crosspoly.search)):
+        v = np.array([r[1] for r in rows]) if scale is None else np.floor(scale * np.array([r[1] for r in rows]))
+        for settings in ({"k": 5}, {"k": 30}):
+            got = search(df, F.col("vec_id") % 50 == 0, **settings).collect()
+            for q in (0, 50, 100):
+                s = (v * v[q]).sum(axis=1)
+                truth = [i for i in np.lexsort((ids, -s)) if ids[i] != q][: settings["k"]]
+                found = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+                assert found == [(n + 1, int(ids[i])) for n, i in enumerate(truth)]
