@@ -32,9 +32,9 @@ from .common import discard, materialize
 TABLES, WIDTH, GROWTH = 12, 0.22, 0.75
 #: The most buckets of a table; vectors of a group or slice; vectors of the sample that bounds the k-th
 #: score of a query from below (among those of its own probes).
-BUCKETS, SLICE, SAMPLE = 1 << 14, 4096, 4096
-#: Queries that are hashed or answered at a time.
-BLOCK = 128
+BUCKETS, SLICE, SAMPLE = 1 << 14, 4096, 1 << 14
+#: Queries that are hashed or answered at a time; components of the vectors that are scored at a time.
+BLOCK, ROOM = 128, 1 << 21
 SEED = 20_240_607
 
 
@@ -173,23 +173,32 @@ class Met:
         bucket = np.concatenate(probes) if len(probes) else np.empty(0, np.int64)
         low, high = np.searchsorted(self.buckets, bucket), np.searchsorted(self.buckets, bucket, side="right")
         slack = np.linalg.norm(q, axis=1) * self.norm * 1e-12
-        found_q, found_at = [], []
-        order = np.argsort(low, kind="stable")
-        who, low, high = who[order], low[order], high[order]
-        edges = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1], [True]])) if len(low) else np.zeros(1, int)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            some, at, to = who[a:b], low[a], high[a]
-            if at == to:
-                continue
-            scores = q[some] @ self.x[at:to].T
-            keep = (scores >= (floors[some] - slack[some])[:, None]) & (rows[some][:, None] != self.rows[None, at:to])
-            i, j = np.nonzero(keep)
-            found_q.append(some[i])
-            found_at.append(j + at)
-        if not found_q:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        who, at = np.concatenate(found_q), np.concatenate(found_at)
-        score = np.concatenate([(self.x[at[s : s + 65536]] * q[who[s : s + 65536]]).sum(axis=1) for s in range(0, len(at), 65536)] or [np.empty(0)])
+        found, pairs = [], max(1, ROOM // max(1, q.shape[1]))
+
+        def select(i: np.ndarray, at: np.ndarray, scores: np.ndarray) -> None:
+            keep = (scores >= floors[i] - slack[i]) & (rows[i] != self.rows[at])
+            found.append((i[keep], at[keep]))
+
+        # Small buckets row by row, large ones as products of blocks.
+        large = high - low >= 64
+        n = np.where(large, 0, high - low)
+        ends = np.cumsum(n)
+        edges = np.unique(np.append(np.searchsorted(ends, np.arange(0, int(n.sum()), pairs), side="right"), len(n)))
+        for first, last in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            some = slice(first, last)
+            i = np.repeat(who[some], n[some])
+            at = np.arange(len(i)) + np.repeat(low[some] - (np.cumsum(n[some]) - n[some]), n[some])
+            select(i, at, np.einsum("ij,ij->i", q[i], self.x[at]))
+        for start in np.unique(low[large]).tolist():
+            probing = large & (low == start)
+            some, stop = who[probing], int(high[probing][0])
+            step = max(1, pairs // (stop - start))
+            for a in range(0, len(some), step):
+                block = some[a : a + step]
+                i, j = np.divmod(np.arange(len(block) * (stop - start)), stop - start)
+                select(block[i], j + start, (q[block] @ self.x[start:stop].T).ravel())
+        who, at = (np.concatenate([f[c] for f in found] or [np.empty(0, np.int64)]) for c in (0, 1))
+        score = np.concatenate([(self.x[at[s : s + pairs]] * q[who[s : s + pairs]]).sum(axis=1) for s in range(0, len(at), pairs)] or [np.empty(0)])
         order = np.lexsort((self.ids[at], -score, who))
         who, at, score = who[order], at[order], score[order]
         place = np.arange(len(who)) - np.searchsorted(who, who)
@@ -252,10 +261,12 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vec
                 x = unit(raw)
                 probes = [turn.probes(x, t, held[t], wanted) for t in range(tables)]
                 # The k-th best of the sample's rows in a query's own probes bounds its k-th score.
-                meets = np.zeros((len(x), len(sample_rows)), dtype=bool)
+                meets, probed_here = np.zeros((len(x), len(sample_rows)), dtype=bool), np.zeros(turn.buckets, dtype=bool)
                 for t in range(tables):
                     for i, p in enumerate(probes[t]):
-                        meets[i] |= np.isin(sample_hashes[t], p)
+                        probed_here[p] = True
+                        meets[i] |= probed_here[sample_hashes[t]]
+                        probed_here[p] = False
                 scores = np.where(meets & (sample_rows[None, :] != row[:, None]), raw @ sample.T, -np.inf)
                 floors = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] if scores.shape[1] > k else np.full(len(x), -np.inf)
                 floors = floors - np.abs(floors) * 1e-9 if len(floors) else floors

@@ -64,6 +64,22 @@ def test_cross_polytope_meets_a_falling_share():
     assert shares[0] > shares[1] > shares[2] and shares[2] < 0.2
 
 
+def test_groups_meet_all_that_is_probed(monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 6))
+    buckets = np.concatenate([rng.integers(0, 200, 700), np.full(200, 7)])
+    for room in (6 * 40, 1 << 21):
+        monkeypatch.setattr(crosspoly, "ROOM", room)
+        met = crosspoly.Met(np.arange(900), np.arange(900), buckets, x)
+        q = np.concatenate([x[:30], rng.normal(size=(20, 6))])
+        rows = np.concatenate([np.arange(30), np.full(20, -1)])
+        probes = [rng.permutation(210)[: rng.integers(0, 60)] for _ in q]
+        who, at, score = met.best(rows, np.full(50, -0.5), q, probes, 900)
+        got = sorted(zip(who.tolist(), met.rows[at].tolist(), score.tolist(), strict=True))
+        want = [(i, j, float(x[j] @ q[i])) for i in range(50) for j in range(900) if buckets[j] in set(probes[i].tolist()) and j != rows[i] and x[j] @ q[i] >= -0.5]
+        assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
 def test_probes_come_in_order():
     rng = np.random.default_rng(4)
     turn = crosspoly.Rotations(10, 2)
