@@ -35,9 +35,9 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule and verdict of every page's url. A page's label is that of the document of its number."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), "quality")
-    return url_rules.filter_urls(table(spark, sf_dir, "pages"), labels, GIVEN_RULES)
+    """The rule and verdict of every page's url. The labels mined are the verdicts of the given rules: those of
+    the table labels say nothing about urls."""
+    return url_rules.filter_urls(table(spark, sf_dir, "pages"), GIVEN_RULES)
 
 
 def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:

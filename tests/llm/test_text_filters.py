@@ -65,19 +65,79 @@ def test_toxicity_operator(spark):
     assert toxic.score(docs.limit(0), model).count() == 0
 
 
+def best_rules(rows, least, confidence, lift):
+    """The best (confidence, support, verdict) of all rules that fit each row, over all subsets of its tokens."""
+    total, count = len(rows), {}
+    share = {v: sum(x == v for _, x in rows) / total for v in ("allow", "block")}
+    for tokens, verdict in rows:
+        for bits in range(1, 1 << len(tokens)):
+            part = frozenset(t for k, t in enumerate(tokens) if bits >> k & 1)
+            n = count.setdefault(part, {"allow": 0, "block": 0})
+            n[verdict] += 1
+    rules = {}
+    for part, n in count.items():
+        for verdict, both in n.items():
+            c = both / sum(n.values())
+            if both >= least and c >= confidence and c / share[verdict] >= lift:
+                rules[part] = max(rules.get(part, (0, 0, "")), (c, both / total, verdict))
+    return [max((r for part, r in rules.items() if part <= set(tokens)), default=None) for tokens, _ in rows]
+
+
+def test_mined_rules_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    for seed in range(3):
+        rows = []
+        for _ in range(160):
+            host = ["a.b.c", "d.b.c", "b.c", "e.c", "f.g.h.c", "g.h.c"][int(rng.integers(6))]
+            labels = host.split(".")
+            tokens = ["host:" + ".".join(labels[k:]) for k in range(len(labels))] + ["word:" + w for w in labels[:1]]
+            tokens += [f"path:{p}" for p in "xyz" if rng.random() < 0.4]
+            odds = 0.9 if host == "a.b.c" or "path:x" in tokens and host.endswith("h.c") else 0.1 * seed
+            rows.append((tokens, "block" if rng.random() < odds else "allow"))
+        df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+        rules = url_rules.mine(df, support=0.0, evidence=4, confidence=0.7, lift=1.1)
+        kinds = {" ".join(t): t for t, _ in rows}
+        got = {r["k"]: r for r in url_rules.judge(spark.createDataFrame(list(kinds.items()), "k string, tokens array<string>"), rules, "k").collect()}
+        for (tokens, _), want in zip(rows, best_rules(rows, 4, 0.7, 1.1), strict=True):
+            r = got.get(" ".join(tokens))
+            assert (r is None) == (want is None)
+            if r:
+                assert r["mined"] == want[2] and abs(r["confidence"] - want[0]) < 1e-12
+
+
+def test_deep_hosts_are_mined_at_once(spark):
+    deep = ".".join(f"l{i}" for i in range(40))
+    rows = [(i, f"http://{deep}/{'x' if i % 3 else 'y'}/{i}", int(i % 3 > 0)) for i in range(300)]
+    # Each of 20 domains has urls of its own, so that none says the same as another.
+    rows += [(1000 + i, f"http://{deep.split('.', i % 20)[-1]}/z/{i}", i // 20 % 2) for i in range(800)]
+    df = spark.createDataFrame(rows, "page_id long, url string, quality int")
+    by = {r["page_id"]: r for r in url_rules.filter_urls(df, (), df.select("page_id", "quality")).collect()}
+    assert all(by[i]["verdict"] == ("allow" if i % 3 else "block") for i in range(300))
+
+
 def test_url_rules(spark):
     rows = [(i, f"https://{'bad' if i % 3 == 0 else 'ok'}.example.net/{'x' if i % 2 else 'y'}/{i}?a=1", 0 if i % 3 == 0 else 1) for i in range(300)]
     rows += [(1000, None, None), (1001, "nothing", 1), (1002, "HTTP://A.Example.ORG/", 0), (1003, "http://example.org/en/15?x", 0), (1004, "x://b.com", 1), (1003, "http://example.org/en/15?x", 0)]
-    df = spark.createDataFrame(rows, "page_id long, url string, quality int")
-    got = url_rules.filter_urls(df, df, queries.GIVEN_RULES).collect()
+    rows += [(1005, "", 0), (1006, "http://long.com/" + "/".join(["part"] * 300_000), 1), (None, "http://n.org/", 1)]
+    df = spark.createDataFrame([(*r, "k", "r", "t") for r in rows], "page_id long, url string, quality int, _kind string, rule string, tokens string")
+    got = url_rules.filter_urls(df, queries.GIVEN_RULES, df).collect()
     assert len(got) == len(rows)
     by = {r["page_id"]: r for r in got}
     assert all(by[i]["verdict"] == ("block" if i % 3 == 0 else "allow") and by[i]["rule"] is None for i in range(300))
-    assert (by[1000]["host"], by[1000]["path"], by[1000]["verdict"]) == ("", "", "allow")
+    assert all((by[i]["host"], by[i]["path"], by[i]["verdict"]) == ("", "", "allow") for i in (1000, 1001, 1005))
     assert (by[1002]["host"], by[1002]["rule"]) == ("a.example.org", "org/")
     assert (by[1003]["path"], by[1003]["rule"], by[1003]["verdict"]) == ("/en/15", "example.org/en/1", "block")
-    assert (by[1004]["host"], by[1004]["path"]) == ("b.com", "")
-    assert url_rules.filter_urls(df.limit(0), df, queries.GIVEN_RULES).count() == 0
+    assert (by[1004]["host"], by[1004]["path"]) == ("b.com", "") and len(by[1006]["path"]) == 1_500_000
+    for labels in (df, None):
+        assert url_rules.filter_urls(df.limit(0), queries.GIVEN_RULES, labels).count() == 0
+
+
+def test_given_rules_are_carried_over(spark):
+    rows = [(i, f"https://h{i % 7}.example.{('org', 'com', 'net')[i % 3]}/{('de', 'fr', 'en')[i // 3 % 3]}/{i}") for i in range(270)]
+    by = {r["page_id"]: r for r in url_rules.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), (("allow", "org/"), ("block", "com/de/"), ("block", "org/de/"), ("allow", "com/fr/"))).collect()}
+    # No given rule names net; the path decides there as it does among the urls that the list judges.
+    assert all(by[i]["rule"] is None and by[i]["verdict"] == "block" and by[i]["confidence"] == 1 for i, u in rows if ".net/de/" in u)
+    assert all(by[i]["rule"] is None and by[i]["verdict"] == "allow" and by[i]["confidence"] == 1 for i, u in rows if ".net/fr/" in u)
 
 
 PAGE = "<html><head><title>t</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav><ul><li><a href='/x'>menu</a></ul></nav><div class='ad'>buy</div>{main}<div id='comments'><p>first!</p></div><aside>side</aside><footer>&copy; foot</footer></body></html>"
