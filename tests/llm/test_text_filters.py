@@ -143,20 +143,101 @@ def test_given_rules_are_carried_over(spark):
 PAGE = "<html><head><title>t</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav><ul><li><a href='/x'>menu</a></ul></nav><div class='ad'>buy</div>{main}<div id='comments'><p>first!</p></div><aside>side</aside><footer>&copy; foot</footer></body></html>"
 
 
+def extracted(htmls):
+    found = template.host_template([h for h in htmls if h])
+    return [template.main_blocks(template.Page(h), found) for h in htmls]
+
+
 def test_extraction():
-    main = "<article><h1>Ti&amp;tle</h1><p><b>One\n two<br>three<p>A<i>B</i> &lt;C&gt;<!-- no --><ul><li>x<li>y</ul><form><p>mail</form></article>"
-    pages = [template.Page(PAGE.format(main=main)), template.Page(None), template.Page("")]
-    assert list(template.main_blocks(pages)) == [["Ti&tle", "One two three", "AB <C>", "x", "y"], [], []]
+    main = "<article><h1>Ti&amp;tle</h1><p title=it's><b>One\n two<br>three<p>A<i>B</i> &lt;C&gt;<!-- no --><ul><li>x<li>y</ul><form><p>mail</form></article>"
+    assert extracted([PAGE.format(main=main), None, ""]) == [["Ti&tle", "One two three", "AB <C>", "x", "y"], [], []]
+    assert extracted(["just <b>text</b>"]) == [["just text"]]
+
+
+def test_names_that_only_resemble_surroundings_stay():
+    inside = "<h2 id='side-effects'>Side effects</h2><section id='legal-history'><p>law</p></section><p class='share-price'>12</p><div id='search-results-analysis'>found</div><section id='related-work'><p>others</p></section>"
+    outside = "<div class='share-buttons'>share</div><div class='cookie-notice'>cookies</div><ul class='comment-list'><li>reader</ul>"
+    assert extracted([PAGE.format(main=f"<article>{inside}{outside}</article>")]) == [["Side effects", "law", "12", "found", "others"]]
+
 
+BARE = "<html><body><div><a href='/1'>one</a> <a href='/2'>two</a></div><div><div>{ad}</div></div><section><h2>{head}</h2><div>{main}<div>More from us every week</div></div></section><div>{foot}</div></body></html>"
 
-def test_extraction_without_landmarks():
-    pages = [template.Page(PAGE.format(main=f"<div class='body'><h2>Head {i}</h2><p>Text number {i} runs on.</p></div><div class='box'>same</div>")) for i in range(5)]
-    got = list(template.main_blocks(pages))
-    assert got == [[f"Head {i}", f"Text number {i} runs on."] for i in range(5)]
+
+def bare_pages(n, seed=0):
+    rng = np.random.default_rng(seed)
+    word = lambda k: " ".join(f"w{i}" for i in rng.integers(0, 500, k))
+    pages, want = [], []
+    for i in range(n):
+        body = [word(int(rng.integers(3, 60))) for _ in range(int(rng.integers(1, 6)))]
+        pages.append(BARE.format(ad=word(6), head=f"Head {i}", main="".join(f"<p>{b}</p>" for b in body), foot=word(4)))
+        want.append([f"Head {i}", *body])
+    return pages, want
+
+
+def test_the_template_alone_decides():
+    # Neither article elements nor names: what holds most of the text of all pages is the article, also on
+    # a page where an advert is longer; the line that all pages have goes.
+    pages, want = bare_pages(12)
+    pages.append(BARE.format(ad="a very long advert " * 30, head="Short", main="<p>few words</p>", foot="x"))
+    want.append(["Short", "few words"])
+    assert extracted(pages) == want
+    without = [template.main_blocks(template.Page(p), None) for p in pages]
+    assert sum(a != b for a, b in zip(without, want, strict=True)) == len(pages)
+
+
+def naive_classes(pages):
+    """Tokens by occurrence vector, and whether a class's tokens alternate in one order on every page."""
+    tokens = {t for t in pages[0].tokens if all(t in p.tokens for p in pages)}
+    groups = {}
+    for t in tokens:
+        groups.setdefault(tuple(p.tokens.count(t) for p in pages), set()).add(t)
+    found = set()
+    for vector, group in groups.items():
+        order = [t for t in dict.fromkeys(pages[0].tokens) if t in group]
+        if all([t for t in p.tokens if t in group] == order * n for p, n in zip(pages, vector, strict=True)):
+            found.add(tuple(order))
+        else:
+            for t in order:
+                if not t.startswith(">") and f">{t}" in group and all([x for x in p.tokens if x in (t, f">{t}")] == [t, f">{t}"] * n for p, n in zip(pages, vector, strict=True)):
+                    found.add((t, f">{t}"))
+    return found
+
+
+def test_classes_and_nesting_against_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        shape = [str(rng.choice(["<div>{}</div>", "<ul>{}</ul>", "<p>{}</p>", "<b>x</b><i>y</i>", "<i>y</i><b>x</b>"])) for _ in range(4)]
+        pages = []
+        for _ in range(4):
+            parts = [s.replace("{}", "".join(rng.choice(["<li>a</li>", "<em>q</em>", "text"], int(rng.integers(0, 4))))) for s in shape]
+            if rng.random() < 0.3:
+                rng.shuffle(parts)
+            pages.append(template.Page("<html><body>" + "".join(parts) + "</body></html>"))
+        classes = template.classes_of(pages)
+        assert {c.tokens for c in classes} == naive_classes(pages)
+        for c in template.nested(classes):
+            spans = lambda c, p: [[i for i, t in enumerate(p.tokens) if t in c.tokens][k : k + len(c.tokens)] for k in range(0, sum(t in c.tokens for t in p.tokens), len(c.tokens))]
+            for p in pages:
+                for own in spans(c, p):
+                    if c.parent is not None:
+                        inside = [s for s in spans(c.parent, p) if s[c.slot - 1] < own[0] and own[-1] < s[c.slot]]
+                        assert len(inside) == 1
 
 
 def test_extraction_operator(spark):
     rows = [(i, f"http://h{i % 2}.x/{i}" if i else None, PAGE.format(main=f"<article><p>page {i}</p></article>"), "c") for i in range(40)] + [(50, "http://h0.x/", None, None), (50, "http://h0.x/", None, None)]
-    got = template.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
-    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got) == sorted([(i, f"page {i}", len(f"page {i}")) for i in range(40)] + [(50, "", 0)] * 2)
+    rows += [(51, "http://h1.x/", PAGE.format(main=f"<article><p>{'long ' * 400_000}</p></article>"), "c")] + [(60, "http://copies.x/", PAGE.format(main="<article><p>same</p></article>"), "c")] * 120
+    got = template.extract(spark.createDataFrame([(*r, "a", 1) for r in rows], "page_id long, url string, html string, text string, _host string, _key int")).collect()
+    want = [(i, f"page {i}", len(f"page {i}")) for i in range(40)] + [(50, "", 0)] * 2 + [(51, "long " * 399_999 + "long", 1_999_999)] + [(60, "same", 4)] * 120
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got) == sorted(want)
     assert template.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_hot_hosts_have_the_template_of_one_task(spark, monkeypatch):
+    pages, want = bare_pages(300, 1)
+    rows = [(i, f"http://one.x/{i}", h) for i, h in enumerate(pages)] + [(1000 + i, f"http://h{i}.x/", "<p>lone</p>") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    cut = {r["page_id"]: r["text"] for r in template.extract(df).collect()}
+    monkeypatch.setattr(template, "HOT", 1)
+    whole = {r["page_id"]: r["text"] for r in template.extract(df).collect()}
+    assert cut == whole == {i: "\n\n".join(w) for i, w in enumerate(want)} | {1000 + i: "lone" for i in range(30)}
