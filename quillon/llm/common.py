@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,13 +46,28 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def discard(*written: DataFrame) -> None:
-    """Remove tables that materialize() wrote and that nothing reads any more."""
+    """Remove tables that materialize() wrote and that nothing reads any more; other tables stay."""
     for df in written:
+        if not hasattr(df, "_written_to"):
+            continue
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df._written_to)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns by their names, whatever characters these hold."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in names]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like the given one that no column of df has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

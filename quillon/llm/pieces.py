@@ -7,7 +7,9 @@ that is compatible with the last token of the remaining prefix, where two tokens
 encoding their concatenation gives just these two. Ids are then read off backwards. The work is
 linear in the text, whatever the length of its longest chunk.
 
-Defined results: null and empty texts have no ids and decode to ''. Other columns pass through.
+Defined results: null and empty texts have no ids and decode to ''; long texts are encoded whole; repeated
+rows are encoded once each; an empty table gives no rows; a prefix has one last token, so that nothing ties.
+Other columns pass through; one with a result's name gives way to it.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, claim, slices
+from .common import arrow_schema, claim, fresh, quoted, slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -259,12 +262,14 @@ RESULTS = {
 def encode(df: DataFrame, model_file: str, text: str = "text", keep: Iterable[str] = (), results: Iterable[str] = ("ids",)) -> DataFrame:
     """Encode a text column, and decode the ids again where a result asks for it.
 
-    keep names the columns that pass through, results those of RESULTS that are added. The model file
-    is read on the driver and travels with the tasks.
+    keep names the columns that pass through, results those of RESULTS that are added; a result takes the
+    place of a column of its name. The model file is read on the driver and travels with the tasks.
     """
     with open(model_file, "rb") as f:
         data = f.read()
     keep, results = list(keep), list(results)
+    keep = [c for c in keep if c.lower() not in results]
+    body = fresh(df, "_text")
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, RESULTS[c]) for c in results])
     out = arrow_schema(schema)
 
@@ -273,7 +278,7 @@ def encode(df: DataFrame, model_file: str, text: str = "text", keep: Iterable[st
         sha = lambda s: hashlib.sha256(s).hexdigest()
         for batch in slices(batches):
             rows: dict[str, list] = {c: [] for c in results}
-            for value in batch.column(text).cast(pa.string()).to_pylist():
+            for value in batch.column(body).cast(pa.string()).to_pylist():
                 ids = model.encode(value)
                 decoded = model.decode(ids) if "decoded" in rows or "decoded_sha256" in rows else ""
                 for c, got in rows.items():
@@ -287,7 +292,7 @@ def encode(df: DataFrame, model_file: str, text: str = "text", keep: Iterable[st
                     )
             yield pa.RecordBatch.from_arrays([batch.column(c).cast(out.field(c).type) for c in keep] + [pa.array(rows[c], out.field(c).type) for c in results], schema=out)
 
-    return df.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
+    return df.select(*quoted(keep), F.col(text).alias(body)).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, model_file: str, ids: str = "ids", keep: Iterable[str] = (), result: str = "decoded") -> DataFrame:

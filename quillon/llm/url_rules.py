@@ -174,5 +174,5 @@ def filter_urls(df: DataFrame, given: Sequence[tuple[str, str]], labels: DataFra
     kinds = found.groupBy("_kind").agg(F.first("tokens").alias("tokens"))
     # Written, so that the join's sides are plain shuffles, whose skewed partitions Spark splits.
     judged = materialize(judge(kinds, rules, "_kind"))
-    discard(*([rules] if hasattr(rules, "_written_to") else []))
+    discard(rules)
     return found.hint("merge").join(judged.hint("merge"), "_kind", "left").select(key, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("mined"), F.lit(ALLOW)).alias("verdict"), F.when(rule.isNull(), F.col("confidence")).alias("confidence"))
