@@ -5,7 +5,9 @@ yields end at the key's shard. No ring table exists, and a shard that is appende
 into itself: about 1 / (n + 1) of every other.
 
 Defined results: a null key hashes as 0; integer keys stand for themselves, other types for their
-XXH64; a null text has no bytes and the CRC-32 of none, 0. Repeated rows get slots of their own.
+XXH64; a null or empty text has no bytes and the CRC-32 of none, 0, a long one counts whole. Repeated rows
+get slots of their own, and rows that tie in key and text may take each other's. An empty table gives no
+rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -78,18 +80,19 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     body = F.coalesce(F.col(text), F.lit(""))
     bits = key_bits(df, key)
     rows = df.select(
-        F.col(key),
+        F.col(key).alias("_key"),
         (F.octet_length(body).cast("long") + _long(ROW_BYTES)).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         jump_shard(bits, shards).alias("shard"),
         jump_shard(bits, shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(bits), _long(runs)).cast("int").alias("_run"),
+        # The text too, since many rows may share a key.
+        F.pmod(F.xxhash64(bits, body), _long(runs)).cast("int").alias("_run"),
     )
     before = Window.partitionBy("shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     firsts = rows.groupBy("shard", "_run").count().select("shard", "_run", F.coalesce(F.sum("count").over(before), _long(0)).alias("_first"))
-    within = Window.partitionBy("shard", "_run").orderBy(F.col(key), "text_crc32", "size")
+    within = Window.partitionBy("shard", "_run").orderBy("_key", "text_crc32", "size")
     return (
         rows.withColumn("_place", F.row_number().over(within))
         .join(F.broadcast(firsts), ["shard", "_run"])  # at most shards * runs rows
-        .select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_first") + F.col("_place") - _long(1)).alias("slot"), "grown_shard")
+        .select(F.col("_key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_first") + F.col("_place") - _long(1)).alias("slot"), "grown_shard")
     )
