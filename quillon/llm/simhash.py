@@ -8,9 +8,11 @@ continues the tree over its own fingerprints, prunes by the same triangle bounds
 left in its leaves. A shard returns a spanning forest of its links, so that a dense group costs as many
 rows as it has members. Components of all links follow by joins.
 
-Defined results: a null or wordless text has fingerprint 0, linked like any other; a text shorter than
-a shingle counts as one shingle; every row has a component, rows with a null id take part in linking,
-and a component without any id has component_id null. Repeated rows are answered once each.
+Defined results: a null, empty or wordless text has fingerprint 0, linked like any other; a text shorter
+than a shingle counts as one shingle, a long one is read whole; a bit that half the hashes have is 0; every
+row has a component, rows with a null id take part in linking, and a component without any id has
+component_id null. Repeated rows are answered once each; an empty table gives no rows. Other columns, whatever
+their names, are ignored, or kept by representatives().
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, claim, materialize, slices
+from .common import arrow_schema, claim, discard, materialize, quoted, slices
 from .components import components
 
 #: Fingerprints that a shard aims at, and the most shards. The top of the tree is fitted on 64
@@ -71,10 +73,10 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = np.array([fingerprint(t, width) for t in batch.column("_text").to_pylist()], dtype=np.uint64).view(np.int64)
+            found = np.array([fingerprint(t, width) for t in batch.column("_whole").to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(c).cast(out.field(c).type) for c in keep] + [pa.array(found)], schema=out)
 
-    return df.select(*keep, df[text].cast("string").alias("_text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).cast("string").alias("_whole")).mapInArrow(run, schema)
 
 
 def _distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -191,7 +193,9 @@ def links(distinct: DataFrame, radius: int = 2, sample: int = SAMPLE, shard: int
     """Links (a, b) whose components are those of all pairs of fingerprints (column fp, distinct) at
     most radius bits apart."""
     total = distinct.count()
-    wanted = min(SHARDS, max(1, -(-total // shard)))
+    # Smaller tables have a few shards for each core.
+    spread = min(4 * distinct.sparkSession.sparkContext.defaultParallelism, total // 500)
+    wanted = min(SHARDS, max(1, -(-total // shard), spread))
     # The least hashes are a sample that does not depend on how the rows are dealt.
     drawn = [r[0] for r in distinct.select("fp", F.xxhash64("fp").alias("h")).orderBy("h", "fp").limit(min(sample, 64 * wanted)).collect()] if wanted > 1 else []
     nodes = fit_top(np.array(drawn, dtype=np.int64).view(np.uint64), -(-len(drawn) // wanted)) if drawn else []
@@ -214,15 +218,15 @@ def links(distinct: DataFrame, radius: int = 2, sample: int = SAMPLE, shard: int
 
 def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", width: int = 3, radius: int = 2, shard: int = SHARD) -> DataFrame:
     """doc, fingerprint (16 hex digits) and component_id, the least id reachable over links, for every row."""
-    rows = materialize(fingerprints(df, text, (doc,), width))
-    least = rows.groupBy("fp").agg(F.min(doc).alias("least"))
-    distinct = materialize(least)
+    rows = materialize(fingerprints(df.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")), "_text", ("_doc",), width))
+    distinct = materialize(rows.groupBy("fp").agg(F.min("_doc").alias("least")))
     reached = components(links(distinct, radius, shard=shard))
     joined = materialize(distinct.join(reached.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = joined.hint("merge").join(ids.hint("merge"), "root").select("fp", "component_id")
-    # A hot fingerprint's rows are split by the sorted join.
-    return rows.hint("merge").join(classes.hint("merge"), "fp").select(doc, hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    # Written, as before the join by star: a giant component and a hot fingerprint are split.
+    ids = materialize(joined.groupBy("root").agg(F.min("least").alias("component_id")))
+    classes = materialize(joined.hint("merge").join(ids.hint("merge"), "root").select("fp", "component_id"))
+    discard(distinct, joined, ids)
+    return rows.hint("merge").join(classes.hint("merge"), "fp").select(F.col("_doc").alias(doc), hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 # --- similar texts ----------------------------------------------------------------------------------
@@ -390,8 +394,9 @@ def _confirmed_runs(width: int, similarity: float):
 def representatives(df: DataFrame, text: str = "text", doc: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """df with one row of each class of near-duplicates, that of the least id. Texts link if they share a
     view's shard, or others that lead from one to the other do, and their sets of shingles have that Jaccard
-    similarity. Texts without a shingle (null, empty) are one class."""
-    keyed = df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("text"), F.col(doc).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_k1"), F.xxhash64(doc).alias("_k2"))
+    similarity. Texts without a shingle (null, empty) are one class; of a class's rows with the least id, which
+    may repeat, one stays; a class without any id keeps one row."""
+    keyed = df.select(F.struct(*quoted(df.columns)).alias("row"), F.col(text).alias("text"), F.col(doc).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_k1"), F.xxhash64(doc).alias("_k2"))
     rows = materialize(sketches(keyed.select("text", "id", F.col("_k1").alias("k1"), F.col("_k2").alias("k2")), "text", ("id", "k1", "k2"), width))
     texts = materialize(rows.groupBy("k1", "fp", "n").agg(F.min(F.struct("id", "k2", "views", "sig")).alias("least")))
     views = texts.select(F.explode("least.views").alias("view"), "k1", "fp", F.col("least.sig").alias("sig"))
@@ -412,6 +417,8 @@ def representatives(df: DataFrame, text: str = "text", doc: str = "doc_id", widt
     # Wordless texts have fingerprint 0 and no view; they are one class whatever their white space.
     root = F.when(F.col("n") == 0, F.lit("")).otherwise(F.coalesce("root", "node"))
     stay = classes.groupBy(root.alias("root")).agg(F.min(F.struct("least", "k1")).alias("best")).select(F.col("best.k1").alias("_k1"), F.col("best.least.k2").alias("_k2"))
+    stay = materialize(stay)
+    discard(rows, texts, reached)
     kept = keyed.select("row", "_k1", "_k2").hint("merge").join(stay.hint("merge"), ["_k1", "_k2"])
     return kept.dropDuplicates(["_k1", "_k2"]).select("row.*")
 
