@@ -8,9 +8,11 @@ term's weight is what the sample says of it; unseen ones weigh three quarters. T
 quotation (quote marks, reporting words) from abuse (address in the second person). A logistic model
 over the evidence gives the score.
 
-Defined results: null and empty texts score like a text without hits; without labelled rows every
-score is 0; a null id counts as held out; ids that occur twice in the labels take the larger label;
-repeated rows are scored once each.
+Defined results: null and empty texts score like a text without hits, long ones are read whole; without
+labelled rows of both classes every score is 0; a null id counts as held out; ids that occur twice in the
+labels take the larger label, those with several texts the least of these; of terms that are equally near a
+word the first in order counts; repeated rows are scored once each; an empty table gives no rows. Other
+columns, whatever their names, are ignored, or kept by score().
 """
 
 from __future__ import annotations
@@ -24,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import arrow_schema, claim, slices
+from .common import arrow_schema, claim, discard, fresh, materialize, quoted, slices
 
-#: Labelled rows of each class from which the model is learned, and the most terms it holds.
-TRAINING_ROWS, TERMS = 3000, 4000
+#: Labelled rows of each class from which the model is learned.
+TRAINING_ROWS = 3000
 #: A term's least log-likelihood ratio (or twice the log of the candidates' number, if that is more) and
 #: log odds; shortest and longest stems; words that a stem begins.
 RATIO, ODDS, STEM, BRANCHES = 12.0, 2.5, (3, 8), 3
@@ -174,18 +175,21 @@ def evidence(text: str | None, lexicon: Lexicon) -> tuple[float, float, float]:
     return max(values, default=0.0), math.log1p(sum(values)), math.log1p(len(tokens))
 
 
-def _ratio(t: int, c: int, nt: int, nc: int) -> float:
-    """Log-likelihood ratio of t of nt toxic against c of nc clean texts."""
+def _odds(t: int, c: int, nt: int, nc: int) -> float:
+    return math.log((t + 0.5) / (nt + 1)) - math.log((c + 0.5) / (nc + 1))
 
-    def part(k: int, n: int, p: float) -> float:
-        return (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if k < n else 0.0)
 
-    p = (t + c) / (nt + nc)
-    return 2 * (part(t, nt, t / nt) + part(c, nc, c / nc) - part(t, nt, p) - part(c, nc, p)) if 0 < p < 1 else 0.0
+def _telling(nt: int, nc: int) -> tuple[Column, Column]:
+    """(log odds, log-likelihood ratio) of a term that t of nt toxic and c of nc clean texts hold."""
+    t, c, one = F.col("t").cast("double"), F.col("c").cast("double"), F.lit(1.0)
 
+    def part(k: Column, n: int, p: Column) -> Column:
+        return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(k < n, (F.lit(float(n)) - k) * F.log(one - p)).otherwise(0.0)
 
-def _odds(t: int, c: int, nt: int, nc: int) -> float:
-    return math.log((t + 0.5) / (nt + 1)) - math.log((c + 0.5) / (nc + 1))
+    p = (t + c) / float(nt + nc)
+    ratio = (part(t, nt, t / nt) + part(c, nc, c / nc) - part(t, nt, p) - part(c, nc, p)) * 2
+    odds = F.log((t + 0.5) / (nt + 1.0)) - F.log((c + 0.5) / (nc + 1.0))
+    return odds, F.when(p < 1, ratio).otherwise(0.0)
 
 
 class Model:
@@ -210,56 +214,109 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
 
 
-def learn(rows: list[tuple[str | None, int]], prior: float | None = None) -> Model:
-    """A model of (text, label) rows; prior is the share of label 1 where the rows were drawn."""
-    distinct = sorted({(text or "", int(label)) for text, label in rows})
-    vocabularies = [({w for t in set(text.lower().split()) if (w := t.strip(EDGES))}, label) for text, label in distinct]
-    toxic = [v for v, label in vocabularies if label]
-    clean = [v for v, label in vocabularies if not label]
-    nt, nc = len(toxic), len(clean)
-    if not nt or not nc:
-        return Model({}, {}, {}, None)
+def vocabulary(text: str | None) -> set[str]:
+    return {w for t in set(text.lower().split()) if (w := t.strip(EDGES))} if text else set()
+
+
+def _stems(words: Iterable[str]) -> set[str]:
+    return {w[:k] for w in words for k in range(STEM[0], STEM[1] + 1) if len(w) > k}
 
-    def stems_of(words: Iterable[str]) -> set[str]:
-        return {w[:k] for w in words for k in range(STEM[0], STEM[1] + 1) if len(w) > k}
-
-    def chosen(pick) -> dict[str, tuple[int, float]]:
-        t = Counter(x for v in toxic for x in pick(v))
-        t = {x: n for x, n in t.items() if n >= 3}
-        c = Counter(x for v in clean for x in pick(v) if x in t)
-        least = max(RATIO, 2 * math.log(len(t) + 1))
-        return {x: (n, _odds(n, c[x], nt, nc)) for x, n in t.items() if n / nt > c[x] / nc and _odds(n, c[x], nt, nc) >= ODDS and _ratio(n, c[x], nt, nc) >= least}
-
-    words, stems = chosen(lambda v: v), chosen(stems_of)
-    branches: dict[str, set[str]] = {s: set() for s in stems}
-    for v in toxic:
-        for w in v:
-            for k in range(STEM[0], min(STEM[1], len(w) - 1) + 1):
-                if w[:k] in branches:
-                    branches[w[:k]].add(w)
-    stems = {s: x for s, x in stems.items() if len(branches[s]) >= BRANCHES}
+
+def term_counts(sample: DataFrame) -> DataFrame:
+    """stem (whether), term, t and c: the toxic and clean texts that hold a word or a stem."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                words = vocabulary(text)
+                counts[label].update((False, w) for w in words)
+                counts[label].update((True, s) for s in _stems(words))
+            keys = list(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.bool_()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())], names=["stem", "term", "t", "c"])
+
+    found = sample.mapInArrow(run, "stem boolean, term string, t long, c long")
+    return found.groupBy("stem", "term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+
+
+def _chosen(counts: DataFrame, nt: int, nc: int) -> tuple[dict[str, tuple[int, float]], dict[str, tuple[int, float]]]:
+    """(words, stems) that tell toxic texts, with their toxic texts and log odds. How many there can be
+    follows from the least ratio and odds, not from the size of the texts' vocabulary."""
+    often = {r["stem"]: r["count"] for r in counts.filter("t >= 3").groupBy("stem").count().collect()}
+    odds, ratio = _telling(nt, nc)
+    found: tuple[dict, dict] = ({}, {})
+    for stem in (False, True):
+        least = max(RATIO, 2 * math.log(often.get(stem, 0) + 1))
+        told = counts.filter((F.col("stem") == stem) & (F.col("t") >= 3) & (F.col("t") * nc > F.col("c") * nt) & (odds >= ODDS) & (ratio >= least))
+        for r in told.select("term", "t", "c").collect():
+            found[stem][r["term"]] = (r["t"], _odds(r["t"], r["c"], nt, nc))
+    return found
+
+
+def _settle(words: dict[str, tuple[int, float]], stems: dict[str, tuple[int, float]], branches: dict[str, int]) -> tuple[dict[str, float], dict[str, float]]:
+    """The terms that stay, with their log odds."""
+    stems = {s: x for s, x in stems.items() if branches.get(s, 0) >= BRANCHES}
     # Of stems that stand for the same texts the longest, and none that a shorter one makes needless.
     longer: dict[str, int] = {}
     for q, (n, _) in stems.items():
         longer[q[:-1]] = max(n, longer.get(q[:-1], 0))
     kept: dict[str, tuple[int, float]] = {}
-    for s in sorted(stems, key=len):
+    for s in sorted(stems, key=lambda s: (len(s), s)):
         n, odds = stems[s]
         if longer.get(s, 0) >= 0.98 * n:
             continue
         if not any(p in kept and kept[p][1] >= odds - 0.5 for p in (s[:k] for k in range(STEM[0], len(s)))):
             kept[s] = (n, odds)
     words = {w: x for w, x in words.items() if not any(p in kept and kept[p][1] >= x[1] - 0.5 for p in (w[:k] for k in range(STEM[0], len(w))))}
-    most = lambda d: {x: d[x][1] for x in sorted(d, key=lambda x: (-d[x][0] * d[x][1], x))[:TERMS]}
-    words, stems = most(words), most(kept)
-    lexicon = Lexicon(words, stems, {})
-    seen = {1: Counter(), 0: Counter()}
-    for v, label in vocabularies:
-        seen[label].update({term for w in v if (got := lexicon.match(w)) and got[0] == "fuzzy" for term in got[1:]})
-    fuzzy = {w: min(words[w], _odds(seen[1][w], seen[0][w], nt, nc)) for w in words if seen[1][w] + seen[0][w]}
-    lexicon = Lexicon(words, stems, fuzzy)
-    x = np.array([(1.0, *evidence(text, lexicon)) for text, _ in distinct])
-    y = np.array([label for _, label in distinct], dtype=float)
+    return {w: words[w][1] for w in sorted(words)}, {s: kept[s][1] for s in sorted(kept)}
+
+
+def _fuzzy_counts(sample: DataFrame, words: dict[str, float], stems: dict[str, float]) -> DataFrame:
+    """term, t and c: the toxic and clean texts that hold a misspelling of a term."""
+    model = Model(words, stems, {}, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxic", lambda: None)
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in slices(batches):
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                counts[label].update({got[1] for w in vocabulary(text) if (got := model.lexicon.match(w)) and got[0] == "fuzzy"})
+        terms = list(counts[0].keys() | counts[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[1][x] for x in terms], pa.int64()), pa.array([counts[0][x] for x in terms], pa.int64())], names=["term", "t", "c"])
+
+    return sample.mapInArrow(run, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+
+
+def _evidence_rows(sample: DataFrame, words: dict[str, float], stems: dict[str, float], fuzzy: dict[str, float]) -> DataFrame:
+    model = Model(words, stems, fuzzy, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxic", lambda: None)
+        for batch in slices(batches):
+            x = [evidence(t, model.lexicon) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in x], pa.float64()) for k in range(3)] + [batch.column("label")], names=["a", "b", "c", "label"])
+
+    return sample.mapInArrow(run, "a double, b double, c double, label int")
+
+
+def learn(sample: DataFrame, prior: float | None = None) -> Model:
+    """A model of rows of text and label, each counted once; prior is the share of label 1 where the rows were
+    drawn. Texts stay with the executors: the driver gets the chosen terms and three numbers a text."""
+    sample = materialize(sample.select(F.col("text").cast("string"), F.col("label").cast("int")).fillna("", ["text"]).distinct())
+    nt, nc = sample.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1)) - F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not nt or not nc:
+        discard(sample)
+        return Model({}, {}, {}, None)
+    counts = materialize(term_counts(sample))
+    words, stems = _chosen(counts, nt, nc)
+    begun = counts.filter("not stem and t > 0").select("term", F.explode(F.sequence(F.lit(STEM[0]), F.lit(STEM[1]))).alias("k")).filter(F.length("term") > F.col("k")).select(F.substring("term", F.lit(1), F.col("k")).alias("stem"))
+    branches = {r["stem"]: r["count"] for r in begun.filter(F.col("stem").isin(list(stems))).groupBy("stem").count().collect()} if stems else {}
+    words, stems = _settle(words, stems, branches)
+    seen = {r["term"]: (r["t"], r["c"]) for r in _fuzzy_counts(sample, words, stems).collect()}
+    fuzzy = {w: min(words[w], _odds(*seen[w], nt, nc)) for w in words if w in seen}
+    rows = np.array(sorted(tuple(r) for r in _evidence_rows(sample, words, stems, fuzzy).collect()))
+    discard(sample, counts)
+    x, y = np.concatenate([np.ones((len(rows), 1)), rows[:, :3]], axis=1), rows[:, 3]
     p = min(max(nt / (nt + nc) if prior is None else prior, 1e-3), 1 - 1e-3)
     w = np.where(y == 1, p * len(y) / nt, (1 - p) * len(y) / nc)
     b = np.zeros(4)
@@ -279,28 +336,27 @@ def held_out(doc: Column) -> Column:
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
-    """Learn from at most rows labelled documents of each class, none of them held out."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = known.agg(F.avg("toxic")).first()[0]
-    drawn = []
-    for label in (0, 1):
-        drawn.append(known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    ids = drawn[0].union(drawn[1])
-    # At most 2 * rows ids are broadcast, and about as many texts come to the driver.
-    texts = documents.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect()
-    return learn([(r["text"], r["toxic"]) for r in texts], share)
+    """Learn from at most rows labelled documents of each class, none of them held out. Of an id's texts the
+    least is read."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg((F.max("toxic") > 0).cast("int").alias("label"))
+    share = known.agg(F.avg("label")).first()[0]
+    drawn = [known.filter(F.col("label") == label).orderBy(F.xxhash64("_id"), "_id").limit(rows) for label in (0, 1)]
+    # At most 2 * rows ids are broadcast.
+    texts = documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("text"))
+    sample = texts.join(F.broadcast(drawn[0].union(drawn[1])), "_id").groupBy("_id", "label").agg(F.min("text").alias("text"))
+    return learn(sample.select("text", "label"), share)
 
 
 def score(documents: DataFrame, model: Model, keep: Iterable[str] = ("doc_id",), text: str = "text", result: str = "score") -> DataFrame:
     """The kept columns and the score, from 0 to 1, of every whole text."""
-    keep = list(keep)
+    keep, body = list(keep), fresh(documents, "_text")
     schema = T.StructType([documents.schema[c] for c in keep] + [T.StructField(result, T.DoubleType())])
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxic", lambda: None)
         for batch in slices(batches):
-            scores = [model.score(t) for t in batch.column(text).cast(pa.string()).to_pylist()]
+            scores = [model.score(t) for t in batch.column(body).cast(pa.string()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c).cast(out.field(c).type) for c in keep] + [pa.array(scores, pa.float64())], schema=out)
 
-    return documents.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
+    return documents.select(*quoted(keep), F.col(text).alias(body)).mapInArrow(run, schema)

@@ -19,8 +19,9 @@ def labelled(n=400, seed=0):
     return rows
 
 
-def test_learns_terms_stems_and_misspellings():
-    model = toxic.learn(labelled())
+def test_learns_terms_stems_and_misspellings(spark):
+    learn = lambda rows: toxic.learn(spark.createDataFrame(rows, "text string, label int"))
+    model = learn(labelled())
     assert {"moronic", "scumbag"} <= set(model.parts[0]) and any("zwirbel".startswith(s) for s in model.parts[1])
     assert all((model.score(t) >= 0.5) == bool(y) for t, y in labelled(200, 9))
     assert model.score("banoda kerafel moronci lusigor") >= 0.5
@@ -28,7 +29,7 @@ def test_learns_terms_stems_and_misspellings():
     plain, quoted = model.score("banoda you moronic kerafel"), model.score('banoda they reported the word "moronic" kerafel')
     assert quoted < plain
     assert model.score(None) == model.score("") < 0.5
-    assert toxic.learn([]).score("anything") == 0.0
+    assert learn([]).score("anything") == 0.0
 
 
 def distance(a, b):
@@ -53,9 +54,46 @@ def test_automaton_is_the_edit_distance():
         assert (w in terms) == (got == ("word", w))
 
 
+def test_terms_against_brute_force(spark):
+    rows = labelled(200, 4)
+    sample = spark.createDataFrame(rows, "text string, label int")
+    got = {(r["stem"], r["term"]): (r["t"], r["c"]) for r in toxic.term_counts(sample).collect()}
+    want = {}
+    for text, label in rows:
+        words = set(text.split())
+        for key in {(False, w) for w in words} | {(True, w[:k]) for w in words for k in range(3, 9) if len(w) > k}:
+            t, c = want.get(key, (0, 0))
+            want[key] = (t + label, c + 1 - label)
+    assert got == want
+    nt, nc = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    odds, ratio = toxic._telling(nt, nc)
+    for r in toxic.term_counts(sample).select("t", "c", odds.alias("o"), ratio.alias("r")).collect():
+        # Twice the log of how much likelier the counts are with a share for each class than with one share.
+        def log(k, n, p):
+            return sum(m * np.log(x) for m, x in ((k, p), (n - k, 1 - p)) if m)
+
+        p = (r["t"] + r["c"]) / (nt + nc)
+        want = 2 * (log(r["t"], nt, r["t"] / nt) + log(r["c"], nc, r["c"] / nc) - log(r["t"], nt, p) - log(r["c"], nc, p)) if p < 1 else 0
+        assert abs(r["r"] - want) < 1e-9 and abs(r["o"] - np.log((r["t"] + 0.5) / (nt + 1) * (nc + 1) / (r["c"] + 0.5))) < 1e-12
+
+
+def test_context_and_evidence():
+    lexicon = toxic.Lexicon({"moronic": 4.0}, {}, {})
+    words = [f"w{i}" for i in range(40)]
+    for before, after, want in (("", "", 1.0), ("you", "", 1.2), ("", "said", 0.6), ("you", "said", 0.72), ('"', '"', 0.3), ('you "', '" said', 0.18)):
+        text = " ".join([*words, before, "moronic", after, *words]).split()
+        assert abs(toxic.context(text, text.index("moronic")) - want) < 1e-12
+        top, total, length = toxic.evidence(" ".join(text), lexicon)
+        assert abs(top - 4 * want) < 1e-12 and abs(total - np.log1p(4 * want)) < 1e-12 and abs(length - np.log1p(len(text))) < 1e-12
+    # Words beyond the window say nothing.
+    far = ["you", *words[: toxic.WINDOW], "moronic", *words[: toxic.WINDOW], "said"]
+    assert toxic.context(far, toxic.WINDOW + 1) == 1.0
+    assert toxic.evidence("", lexicon) == toxic.evidence(None, lexicon) == (0.0, 0.0, 0.0)
+
+
 def test_toxicity_operator(spark):
-    rows = [(i, t, "x", y) for i, (t, y) in enumerate(labelled())] + [(9000, None, "x", 0), (9001, "", "x", 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, y int")
+    rows = [(i, t, "x", y) for i, (t, y) in enumerate(labelled())] + [(9000, None, "x", 0), (9001, "", "x", 0), (9002, "kerafel " * 300_000, "x", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, y int").withColumn("toxic", F.lit(1)).withColumn("label", F.lit("l")).withColumn("_text", F.lit("t"))
     labels = docs.select("doc_id", F.lit(1).alias("quality"), F.col("y").alias("toxic")).unionByName(spark.createDataFrame([(None, 1, 1), (1, 1, None)], "doc_id long, quality int, toxic int"))
     model = toxic.fit(docs, labels, rows=60)
     got = {r["doc_id"]: r["s"] for r in toxic.score(docs, model, result="s").collect()}
