@@ -7,9 +7,11 @@ by safeguarded Newton steps over a histogram of (source, size), which is all tha
 Rates become copies by sequential Poisson sampling: the whole part always, and the documents with the
 least u / fraction one copy more until the source's words are used up; u is a hash of the row.
 
-Defined results: a null text has no words; a document without words takes none; a null source is a
-source of its own and comes last; a source without words has target 0; repeated rows that fall on the
-cut share what is left evenly.
+Defined results: a null or empty text has no words, a long one counts whole; a document without words takes
+none; a null source is a source of its own and comes last; a source without words has target 0; rows that tie
+at the cut, repeated ones among them, share what is left evenly; an empty table gives no rows. Other columns,
+whatever their names, are ignored, or kept by mixed_copies(). The table of sources (one row each) is ordered
+in one task.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, word_count
+from .common import discard, materialize, quoted, word_count
 
 #: Relative error of a source's expected words at which the Newton steps end, and the most steps.
 TOLERANCE, STEPS = 1e-7, 40
-#: Ranges of u / fraction over which the words are summed before the cut is looked for in one of them.
+#: Ranges of u / fraction over which the words are summed, and parts of the range that holds the cut over
+#: which they are summed again, before the cut is looked for in one of these.
 RANGES = 2048
 
 
@@ -66,7 +69,7 @@ def _exact_sum(x: Column) -> Column:
 
 def _newton(hist: DataFrame, state: DataFrame, cap: float) -> DataFrame:
     """state with each source's lambda."""
-    top = F.lit(math.log(cap))
+    top, before = F.lit(math.log(cap)), state
     for _ in range(STEPS):
         tilt = F.col("lam") * F.col("size") / F.col("mean")
         mass = F.col("n") * F.col("size") * F.exp(F.least(tilt, top))
@@ -82,6 +85,8 @@ def _newton(hist: DataFrame, state: DataFrame, cap: float) -> DataFrame:
         inside = (F.col("slope") > 0) & (newton > F.col("lo")) & (newton < F.col("hi"))
         done = F.col("full") | (F.abs("gap") <= TOLERANCE)
         state = materialize(state.withColumn("lam", F.when(done, F.col("lam")).when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2)).drop("slope"))
+        discard(before)
+        before = state
         worst = state.agg(F.max(F.abs("gap"))).first()[0]
         if worst is None or worst <= TOLERANCE:
             break
@@ -103,20 +108,33 @@ def plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
     start = F.when(F.col("full"), 0.0).otherwise(F.log(ratio))
     state = state.withColumn("lo", F.coalesce(F.least(F.lit(0.0), steepest), F.lit(0.0)) - 1e-9).withColumn("hi", F.coalesce(F.greatest(F.lit(0.0), steepest), F.lit(0.0)) + 1e-9)
     state = materialize(state.withColumn("lam", start))
+    whole = hist
     hist = materialize(hist.filter(positive).join(state.select("sid", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s"))).select("sid", "size", "n"))
-    state = _newton(hist, state, cap)
+    discard(whole)
+    state = tilts = _newton(hist, state, cap)
     base = hist.join(state, "sid").groupBy("sid").agg(F.sum(F.col("n") * F.col("size") * F.floor(_rate(cap))).alias("base"))
     state = materialize(state.join(base, "sid", "left").withColumn("rest", F.round("target").cast("long") - F.coalesce("base", F.lit(0).cast("long"))).select("sid", "source", "source_size", "target", "mean", "full", "lam", "rest"))
+    discard(tilts)
     # The cut: the range of u / fraction in which the rest is used up, then the value in it.
-    rows = _tilted(sized, state, cap).filter(F.col("part").isNotNull()).withColumn("range", F.floor(F.col("part") / (F.col("part") + 1) * RANGES))
+    rows = _tilted(sized, state, cap).filter(F.col("part").isNotNull())
+    fine = F.floor(F.col("part") / (F.col("part") + 1) * (RANGES * RANGES)).cast("long")
+    rows = rows.select("sid", "rest", "size", "part", F.floor(fine / F.lit(RANGES)).cast("long").alias("coarse"), fine.alias("fine"))
     upward = Window.partitionBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = rows.groupBy("sid", "rest", "range").agg(F.sum("size").alias("words"))
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("words").over(upward.orderBy("range")), F.lit(0).cast("long")))
-    last = materialize(ranges.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest"))).select("sid", "range", "before"))
-    values = rows.join(last, ["sid", "range"]).groupBy("sid", "rest", "before", "part").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("tied"))
-    values = values.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(upward.orderBy("part")), F.lit(0).cast("long")))
-    cuts = values.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest"))).select("sid", F.col("part").alias("cut"), F.floor((F.col("rest") - F.col("before")) / F.col("tied")).alias("at_cut"))
-    return materialize(state.join(cuts, "sid", "left"))
+
+    def crossing(sums: DataFrame, by: str) -> DataFrame:
+        """The row of each source in which the rest is used up, with the words before it."""
+        sums = sums.withColumn("before", F.col("start") + F.coalesce(F.sum("words").over(upward.orderBy(by)), F.lit(0).cast("long")))
+        return sums.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
+
+    words, start = F.sum("size").alias("words"), F.lit(0).cast("long").alias("start")
+    first = materialize(crossing(rows.groupBy("sid", "rest", "coarse").agg(words).select("*", start), "coarse").select("sid", "coarse", F.col("before").alias("start")))
+    inner = rows.join(first, ["sid", "coarse"])
+    second = materialize(crossing(inner.groupBy("sid", "rest", "start", "fine").agg(words), "fine").select("sid", "fine", F.col("before").alias("start")))
+    values = rows.join(second, ["sid", "fine"]).groupBy("sid", "rest", "start", "part").agg(words, F.count(F.lit(1)).alias("tied"))
+    cuts = crossing(values, "part").select("sid", F.col("part").alias("cut"), F.floor((F.col("rest") - F.col("before")) / F.col("tied")).alias("at_cut"))
+    found = materialize(state.join(cuts, "sid", "left"))
+    discard(state, hist, first, second)
+    return found
 
 
 def _tilted(sized: DataFrame, state: DataFrame, cap: float) -> DataFrame:
@@ -138,7 +156,7 @@ def _extra() -> Column:
 
 def sized_rows(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", row: bool = False) -> DataFrame:
     """doc_id, source, size and draw of each document, and the whole row as a struct if wanted."""
-    whole = [F.struct(*df.columns).alias("row")] if row else []
+    whole = [F.struct(*quoted(df.columns)).alias("row")] if row else []
     return df.select(*whole, F.col(doc).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")).withColumn("u", _draw("doc_id", "source", "size"))
 
 
