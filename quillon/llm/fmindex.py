@@ -10,12 +10,14 @@ by backward search: from a right end the match is extended to the left while at
 remain, and intervals at least a window long are reported. Occurrences are counted exactly, since each
 window of a text lies in one stretch.
 
-Exact copies of a text are represented by one of them. Windows under a minimizer that is very frequent
+Copies of a text, word by word, are represented by one of them. Windows under a minimizer that is very frequent
 are dealt by their own hash instead, one by one, so that no shard holds a frequent passage's
 surroundings; identical stretches are merged before the shuffle.
 
-Defined results: null, empty and short texts have no windows and stay as they are; repeated rows are
-copies of each other; rows with equal texts and null ids as well; other columns pass through.
+Defined results: null, empty and short texts have no windows and stay as they are; long texts are read
+whole; repeated rows are copies of each other, rows with equal texts and null ids as well; no tie needs
+deciding, since every occurrence of a repeated window goes; an empty table gives no rows; other columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, claim, discard, materialize, slices
+from .common import arrow_schema, claim, discard, materialize, quoted, slices
 
 #: Words of a window and of a gram; rows of a minimizer beyond which its windows are dealt singly.
 WINDOW, GRAM, FREQUENT = 35, 8, 2000
@@ -197,7 +199,7 @@ def _keyed(df: DataFrame, doc: str, text: str) -> DataFrame:
     """doc and text with (k1, k2), which rows of the same id and text, and so the same result, share; and
     the whole row as a struct."""
     k1, k2 = F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.xxhash64(F.col(doc), F.length(text))
-    return df.select(F.col(doc).alias("doc"), F.col(text).alias("text"), k1.alias("k1"), k2.alias("k2"), F.struct(*df.columns).alias("row"))
+    return df.select(F.col(doc).alias("doc"), F.col(text).alias("text"), k1.alias("k1"), k2.alias("k2"), F.struct(*quoted(df.columns)).alias("row"))
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -291,7 +293,8 @@ def find(df: DataFrame, doc: str = "doc_id", text: str = "text", window: int = W
     each text without copies that loses words its k1, k2, kept text, digest and number of words lost."""
     keyed = _keyed(df, doc, text)
     light = materialize(_light(keyed))
-    copies = materialize(light.groupBy("k1").agg(F.min("k2").alias("k2"), F.count(F.lit(1)).alias("copies")))
+    # Texts are copies if the digest of all their words agrees.
+    copies = materialize(light.groupBy("sha").agg(F.min(F.struct("k1", "k2")).alias("one"), F.count(F.lit(1)).alias("copies")).select("sha", "one.k1", "one.k2", "copies"))
     runs = materialize(_runs(keyed, window, gram))
     # Written, so that both sides of the join are plain shuffles, whose skewed partitions Spark splits.
     often = materialize(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", (F.col("n") > frequent).alias("frequent")))
@@ -311,8 +314,8 @@ def find(df: DataFrame, doc: str = "doc_id", text: str = "text", window: int = W
     changed = candidates.select("k1", "k2", "text").dropDuplicates(["k1", "k2"]).hint("merge").join(ranges.hint("merge"), ["k1", "k2"]).mapInArrow(_cut, "k1 long, k2 long, kept string, sha string, lost long")
     changed = materialize(changed)
     discard(wanted, candidates, stretches)
-    has = copies.select("k1", F.col("copies").alias("_n"))
-    return light.hint("merge").join(has.hint("merge"), "k1").withColumn("copied", (F.col("_n") > 1) & (F.col("n_words") >= window)).drop("_n"), changed
+    has = copies.select("sha", F.col("copies").alias("_n"))
+    return light.hint("merge").join(has.hint("merge"), "sha").withColumn("copied", (F.col("_n") > 1) & (F.col("n_words") >= window)).drop("_n"), changed
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
