@@ -175,9 +175,10 @@ def type_name(x: Column) -> Column:
 
 
 def to_integer(x: Column) -> Column:
-    """Lenient cast of text: the longest numeric prefix, cut to whole numbers; 0 without one."""
+    """Lenient cast of text: its leading whole number, cut to 64 bits; 0 without one."""
     digits = F.regexp_extract(x, r"^\s*([+-]?\d+)", 1)
-    return F.when(x.isNull(), None).otherwise(F.coalesce(F.nullif(digits, F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint")))
+    beyond = F.when(digits.startswith("-"), F.lit(-(2**63))).otherwise(F.lit(2**63 - 1))
+    return F.when(x.isNull(), None).when(digits == "", F.lit(0).cast("bigint")).otherwise(F.coalesce(digits.try_cast("bigint"), beyond))
 
 
 def to_real(x: Column) -> Column:
@@ -190,8 +191,9 @@ def to_real(x: Column) -> Column:
 
 
 def divide(a: Column, b: Column) -> Column:
-    """Whole-number division, cut towards 0; null for a divisor of 0."""
-    return F.when(b != 0, F.floor(F.abs(a) / F.abs(b)).cast("bigint") * F.signum(a.cast("double")).cast("bigint") * F.signum(b.cast("double")).cast("bigint"))
+    """Whole-number division, cut towards 0; null for a divisor of 0, and where 64 bits don't hold it."""
+    a, b = a.cast("bigint"), b.cast("bigint")
+    return F.when(b == -1, F.try_subtract(F.lit(0).cast("bigint"), a)).when(b != 0, F.call_function("div", a, F.nullif(b, F.lit(0).cast("bigint"))))
 
 
 def remainder(a: Column, b: Column) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -58,8 +59,12 @@ def phrase(table: DataFrame, key: str, terms: Sequence[str]) -> DataFrame:
 
 def near(table: DataFrame, key: str, a: str, b: str, distance: int = 10) -> DataFrame:
     """Keys of the rows in which at most distance tokens stand between the two terms."""
-    left, right = table.filter(F.col("term") == a).select(key, F.col("pos").alias("pa")), table.filter(F.col("term") == b).select(key, F.col("pos").alias("pb"))
-    return left.join(right, key).filter((F.abs(F.col("pa") - F.col("pb")) <= distance + 1) & (F.col("pa") != F.col("pb"))).select(key).distinct()
+    own = table.filter(F.col("term").isin(a, b)).select(key, "pos", "term")
+    # One pass over the terms' places: each is held against the last one of the other term.
+    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    of = lambda t: F.last(F.when(F.col("term") == t, F.col("pos")), ignorenulls=True).over(before)
+    last = of(a) if a == b else F.when(F.col("term") == a, of(b)).otherwise(of(a))
+    return own.withColumn("_last", last).filter(F.col("pos") - F.col("_last") <= distance + 1).select(key).distinct()
 
 
 def bm25(table: DataFrame, key: str, terms: Sequence[str]) -> DataFrame:
