@@ -67,17 +67,29 @@ def near(table: DataFrame, key: str, a: str, b: str, distance: int = 10) -> Data
     return own.withColumn("_last", last).filter(F.col("pos") - F.col("_last") <= distance + 1).select(key).distinct()
 
 
-def bm25(table: DataFrame, key: str, terms: Sequence[str]) -> DataFrame:
-    """(key, rank) of the rows with any of the terms; the terms' statistics are joined by term."""
-    lengths = table.groupBy(key).agg(F.count(F.lit(1)).alias("len"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
-    tf = table.filter(F.col("term").isin(*terms)).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # One row of totals, and one row for each term of the query.
-    rows = tf.join(F.broadcast(df), "term").join(lengths, key).join(F.broadcast(totals))
-    idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return rows.groupBy(key).agg((-F.sum(part)).alias("rank"))
+def _times(tokens: Column, term: str) -> Column:
+    return F.size(F.filter(tokens, lambda x: x == term))
+
+
+def bm25(df: DataFrame, key: str, text: str, terms: Sequence[str], tokenizer=words) -> DataFrame:
+    """(key, rank) of the rows with any of the terms; key is unique. Each row counts its own terms, so that
+    no token is shuffled; the statistics of all rows are one row."""
+    empty = F.array().cast("array<string>")
+    counted = F.transform(
+        F.array(F.coalesce(tokenizer(F.col(text)), empty)),
+        lambda w: F.struct(F.size(w).alias("len"), *[_times(w, t).alias(f"tf{i}") for i, t in enumerate(terms)]),
+    )
+    rows = df.select(key, F.explode(counted).alias("s")).select(key, "s.*")
+    has = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
+    full = rows.filter("len > 0")
+    totals = full.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"), *has)
+    parts = []
+    for i in range(len(terms)):
+        tf, n = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.greatest(F.log((F.col("docs") - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
+        parts.append(F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))).otherwise(0.0))
+    any_term = reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
+    return full.filter(any_term).join(F.broadcast(totals)).select(key, (-reduce(lambda a, b: a + b, parts)).alias("rank"))
 
 
 def vocabulary(table: DataFrame, key: str) -> DataFrame:

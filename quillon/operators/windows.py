@@ -62,3 +62,31 @@ def extreme_without_current(x: Column, partition: Sequence[str | Column], order:
     before = f(x).over(w.rowsBetween(start, -1)) if start < 0 else F.lit(None)
     after = f(x).over(w.rowsBetween(1, end)) if end > 0 else F.lit(None)
     return F.greatest(before, after) if largest else F.least(before, after)
+
+
+def exclude_anywhere(df: DataFrame, x: str, partition: Sequence[str], order: Sequence[str], start: int, end: int, what: str, kind: str = "rows") -> DataFrame:
+    """df with sum, count and avg of x over a frame of rows or of peer groups, wherever it lies, without the
+    current row, its peers ("group") or its other peers ("ties"). Among peers any order is a right one;
+    one is chosen and held for all frames."""
+    if what not in ("current row", "group", "ties") or kind not in ("rows", "groups"):
+        raise ValueError(f"cannot exclude {what!r} of {kind!r}")
+    spec = Window.partitionBy(*partition).orderBy(*order)
+    df = df.withColumn("_row", F.row_number().over(spec)).withColumn("_group", F.dense_rank().over(spec))
+    v, here = F.col(x), start <= 0 <= end
+    by_row, own = Window.partitionBy(*partition).orderBy("_row"), Window.partitionBy(*partition, "_group").orderBy("_row")
+    # Peers stand side by side, so that a frame of rows, cut to the peer group, is a frame of the group's rows.
+    frame = by_row.rowsBetween(start, end) if kind == "rows" else Window.partitionBy(*partition).orderBy("_group").rangeBetween(start, end)
+    peers = own.rowsBetween(start, end) if kind == "rows" else own.rowsBetween(FIRST, LAST)
+    total, n = F.coalesce(F.sum(v).over(frame), F.lit(0)), F.count(v).over(frame)
+    own_sum, own_n = (F.coalesce(v, F.lit(0)), F.when(v.isNull(), 0).otherwise(1)) if here else (F.lit(0), F.lit(0))
+    if what == "current row":
+        out_sum, out_n = own_sum, own_n
+    elif kind == "groups" and not here:
+        out_sum, out_n = F.lit(0), F.lit(0)
+    else:
+        out_sum, out_n = F.coalesce(F.sum(v).over(peers), F.lit(0)), F.count(v).over(peers)
+        if what == "ties":
+            out_sum, out_n = out_sum - own_sum, out_n - own_n
+    found = df.withColumn("count", n - out_n).withColumn("_left", total - out_sum)
+    left = F.when(F.col("count") > 0, F.col("_left"))
+    return found.withColumn("sum", left).withColumn("avg", left / F.col("count")).drop("_row", "_group", "_left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extras as X
 from ..functions import scalar as S
+from ..operators import match as M
 from ..operators import search as Q
 from .registry import query
 from .tables import table
@@ -51,7 +52,7 @@ def fts_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN ('scum', 'license') GROUP BY doc_id, term), d AS (SELECT term, count(*) AS df FROM f GROUP BY term)
 SELECT doc_id, round(-sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS rank FROM f JOIN d USING (term) JOIN l USING (doc_id) CROSS JOIN s GROUP BY doc_id""")
 def fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.bm25(_tokens(spark, sf_dir), "doc_id", ["scum", "license"]).select("doc_id", F.round("rank", 6).alias("rank"))
+    return Q.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", ["scum", "license"]).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
 @query("fts_vocabulary", _WITH + "SELECT term, count(DISTINCT doc_id) AS doc, count(*) AS cnt FROM t GROUP BY term")
@@ -96,3 +97,29 @@ def prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("approximate_match", "SELECT p_partkey FROM part WHERE levenshtein(split_part(p_name, ' ', 1), 'green') <= 3")
 def approximate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").filter(F.levenshtein(F.split("p_name", " ")[0], F.lit("green")) <= 3).select("p_partkey")
+
+
+# --- queries written as text --------------------------------------------------------------------------------
+
+
+def _match(name: str, text: str, oracle: str) -> None:
+    @query(name, _WITH + oracle)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return M.match(table(spark, sf_dir, "documents"), text, ["text"]).select("doc_id")
+
+
+_has = "SELECT doc_id FROM t GROUP BY doc_id HAVING "
+_match("match_precedence", "the (scum OR license) NOT idiot", _has + "bool_or(term = 'the') AND (bool_or(term = 'scum') OR bool_or(term = 'license')) AND NOT bool_or(term = 'idiot')")
+_match("match_or_below_and", "scum OR license AND rights", _has + "bool_or(term = 'scum') OR (bool_or(term = 'license') AND bool_or(term = 'rights'))")
+_match("match_phrase_prefix", 'all + "rights" + reser*', "SELECT DISTINCT a.doc_id FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN t c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2 WHERE a.term = 'all' AND b.term = 'rights' AND starts_with(c.term, 'reser')")
+_match("match_first", "^the", "SELECT DISTINCT doc_id FROM t WHERE pos = 0 AND term = 'the'")
+_match("match_near", "NEAR(the with, 3)", "SELECT DISTINCT a.doc_id FROM t a JOIN t b ON a.doc_id = b.doc_id AND abs(a.pos - b.pos) <= 4 WHERE a.term = 'the' AND b.term = 'with'")
+_match("match_near_three", "NEAR(the with of, 6)", "SELECT DISTINCT a.doc_id FROM t a JOIN t b ON a.doc_id = b.doc_id JOIN t c ON a.doc_id = c.doc_id WHERE a.term = 'the' AND b.term = 'with' AND c.term = 'of' AND greatest(a.pos, b.pos, c.pos) - least(a.pos, b.pos, c.pos) <= 7")
+
+
+_type, _name = ("regexp_split_to_array(lower(p_%s), '[^a-z0-9]+')" % x for x in ("type", "name"))
+
+
+@query("match_columns", f"SELECT p_partkey FROM part WHERE list_contains({_type}, 'promo') AND NOT list_contains({_name}, 'small') OR list_contains({_name}, 'bolt')")
+def match_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.match(table(spark, sf_dir, "part"), "-p_name : promo NOT {p_name} : small OR p_name : bolt", ["p_name", "p_type"]).select("p_partkey")

@@ -77,3 +77,18 @@ s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, sid""")
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.sessions(table(spark, sf_dir, "events")).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+def _anywhere(what: str, kind: str, start: int, end: int):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = W.exclude_anywhere(table(spark, sf_dir, "part").select("p_brand", "p_size"), "p_size", ["p_brand"], ["p_size"], start, end, what, kind)
+        return found.select("p_brand", "p_size", F.col("sum").cast("bigint").alias("s"), F.col("count").cast("bigint").alias("n"), F.round("avg", 6).alias("a"))
+
+    return run
+
+
+for _kind in ("rows", "groups"):
+    for _what in ("current row", "group", "ties"):
+        for _place, _start, _end, _words in (("around", -3, 2, "3 PRECEDING AND 2 FOLLOWING"), ("ahead", 1, 3, "1 FOLLOWING AND 3 FOLLOWING")):
+            _over = f"OVER (PARTITION BY p_brand ORDER BY p_size {_kind.upper()} BETWEEN {_words} EXCLUDE {_what.upper()})"
+            query(f"window_exclude_{_what.replace(' ', '_')}_{_kind}_{_place}", f"SELECT p_brand, p_size, CAST(sum(p_size) {_over} AS BIGINT) AS s, count(p_size) {_over} AS n, round(avg(p_size) {_over}, 6) AS a FROM part")(_anywhere(_what, _kind, _start, _end))

@@ -8,6 +8,7 @@ from quillon.functions import extras as X
 from quillon.functions import json_text as J
 from quillon.functions import scalar as S
 from quillon.operators import changes as C
+from quillon.operators import match as M
 from quillon.operators import search as Q
 from quillon.sources import tables as T
 
@@ -119,3 +120,21 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("totals").collect()] == [(1, 2, 5.0)]
+
+
+def test_queries_written_as_text(spark):
+    shape = "id int, title string, body string"
+    df = spark.createDataFrame([(1, "One two", "a b c x x x a"), (2, None, "c b"), (3, "", ""), (4, "b", None), (5, "say 'a b'", "A-b, d")], shape)
+
+    def ids(text):
+        return [r[0] for r in df.filter(M.matches({"title": F.col("title"), "body": F.col("body")}, text)).orderBy("id").collect()]
+
+    assert ids("a") == ids('"A"') == [1, 5] and ids("b") == [1, 2, 4, 5]
+    assert ids("a b NOT c") == [5] and ids("a OR b NOT c") == [1, 4, 5] and ids("(a OR b) NOT c") == [4, 5]
+    assert ids('"a b" d') == ids("a + b AND d") == [5] and ids("tw*") == [1] and ids("^b") == [4] and ids("^ one + two") == [1]
+    assert ids("title : b") == [4, 5] and ids("-title : b") == ids("{body} : b") == [1, 2, 5] and ids("{title body} : c") == [1, 2]
+    assert ids("NEAR(a c, 1)") == [1] and ids("NEAR(a c, 0)") == [] and ids("NEAR(c a, 2)") == [1] and ids('NEAR("a b" x, 1)') == [1] and ids('NEAR("a b" x, 0)') == []
+    assert ids('""') == []
+    for wrong in ("", "a OR", "(a", "a )", "none : a", "NEAR(a, b)", "a + ", "AND", "a & b"):
+        with pytest.raises(M.QueryError):
+            ids(wrong)
