@@ -66,11 +66,16 @@ def _months(t: Column, n: int, floor: bool) -> Column:
 
 
 def modified(t: Column, *modifiers: str) -> Column:
-    """A time value after its modifiers."""
+    """A time value after its modifiers. utc and localtime convert from and to the session's time zone;
+    ceiling is how months overflow without floor; auto and subsec change no time value."""
     words = [m.strip().lower() for m in modifiers]
     floor = "floor" in words
     for m in words:
-        if m in ("floor", "ceiling", "auto", "utc", "localtime", "subsec", "subsecond"):
+        if m in ("floor", "ceiling", "auto", "subsec", "subsecond"):
+            continue
+        if m in ("utc", "localtime"):
+            zones = (F.current_timezone(), F.lit("UTC"))
+            t = F.convert_timezone(*(zones if m == "utc" else zones[::-1]), t)
             continue
         if found := _AMOUNT.match(m):
             amount, unit = float(found[1]), found[2]
@@ -97,6 +102,11 @@ def modified(t: Column, *modifiers: str) -> Column:
     return t
 
 
+def now() -> Column:
+    """The query's own time in UTC, the same in all of its rows."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp())
+
+
 def julianday(t: Column) -> Column:
     return _micros(t).cast("double") / F.lit(float(DAY)) + F.lit(EPOCH_JULIAN)
 
@@ -154,19 +164,36 @@ def strftime(form: str, t: Column) -> Column:
 
 def timediff(a: Column, b: Column) -> Column:
     """The span +YYYY-MM-DD HH:MM:SS.SSS that leads from b to a."""
-    later, earlier = F.greatest(a, b), F.least(a, b)
-    months = (F.year(later) - F.year(earlier)) * 12 + F.month(later) - F.month(earlier)
-
-    def ahead(n: Column) -> Column:
-        first = F.add_months(F.trunc(earlier.cast("date"), "MM"), n)
-        day = F.date_add(first, F.dayofmonth(earlier) - 1)
-        return F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * DAY + F.pmod(_micros(earlier), F.lit(DAY))
-
-    months = F.when(ahead(months) > _micros(later), months - 1).otherwise(months)
-    rest = _micros(later) - ahead(months)
-    two = lambda x, n=2: F.lpad(x.cast("string"), n, "0")
-    part = lambda unit, most: F.floor(rest / unit) % most
-    return F.concat(
-        F.when(a < b, "-").otherwise("+"), two(F.floor(months / 12), 4), F.lit("-"), two(months % 12), F.lit("-"), two(F.floor(rest / DAY)), F.lit(" "),
-        two(part(3_600_000_000, 24)), F.lit(":"), two(part(60_000_000, 60)), F.lit(":"), two(part(1_000_000, 60)), F.lit("."), two(part(1000, 1000), 3),
-    )
+
+    def ahead(t: Column, n: Column) -> Column:
+        first = F.add_months(F.trunc(t.cast("date"), "MM"), n)
+        day = F.date_add(first, F.dayofmonth(t) - 1)
+        return F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * DAY + F.pmod(_micros(t), F.lit(DAY))
+
+    # Each step binds its results as a lambda's argument; written out, they would repeat a and b hundreds of times.
+    def ordered(r: Column) -> Column:
+        return F.struct(F.greatest(r["a"], r["b"]).alias("later"), F.least(r["a"], r["b"]).alias("earlier"), (r["a"] < r["b"]).alias("back"))
+
+    def whole_months(r: Column) -> Column:
+        months = (F.year(r["later"]) - F.year(r["earlier"])) * 12 + F.month(r["later"]) - F.month(r["earlier"])
+        return F.struct(r["later"].alias("later"), r["earlier"].alias("earlier"), r["back"].alias("back"), months.alias("months"))
+
+    def remainder(r: Column) -> Column:
+        months = r["months"] - F.when(ahead(r["earlier"], r["months"]) > _micros(r["later"]), 1).otherwise(0)
+        return F.struct(r["later"].alias("later"), r["earlier"].alias("earlier"), r["back"].alias("back"), months.alias("months"))
+
+    def rest(r: Column) -> Column:
+        return F.struct(r["back"].alias("back"), r["months"].alias("months"), (_micros(r["later"]) - ahead(r["earlier"], r["months"])).alias("rest"))
+
+    def text(r: Column) -> Column:
+        two = lambda x, n=2: F.lpad(x.cast("string"), n, "0")
+        part = lambda unit, most: F.floor(r["rest"] / unit) % most
+        return F.concat(
+            F.when(r["back"], "-").otherwise("+"), two(F.floor(r["months"] / 12), 4), F.lit("-"), two(r["months"] % 12), F.lit("-"), two(F.floor(r["rest"] / DAY)), F.lit(" "),
+            two(part(3_600_000_000, 24)), F.lit(":"), two(part(60_000_000, 60)), F.lit(":"), two(part(1_000_000, 60)), F.lit("."), two(part(1000, 1000), 3),
+        )
+
+    steps = F.array(F.struct(a.alias("a"), b.alias("b")))
+    for step in (ordered, whole_months, remainder, rest, text):
+        steps = F.transform(steps, step)
+    return F.when(a.isNotNull() & b.isNotNull(), F.get(steps, 0))

@@ -496,3 +496,40 @@ def json_nodes(text: Column, path: str = "$", deep: bool = True) -> Column:
             yield pd.Series([[dict(zip(names, n, strict=True)) for n in _nodes(None if not isinstance(t, str) else t, path, deep)] for t in s], dtype=object)
 
     return F.pandas_udf(run, T.ArrayType(NODE))(text)
+
+
+# --- binary JSON ----------------------------------------------------------------------------------------------
+
+
+def jsonb(text: Column) -> Column:
+    """Binary JSON of a text; an error if it is none."""
+    return F.parse_json(text)
+
+
+def _binary(f: Callable[..., Column]) -> Callable[..., Column]:
+    """The same edit from binary JSON to binary JSON."""
+
+    def run(value: Column, *rest: Column) -> Column:
+        return F.parse_json(f(F.to_json(value), *rest))
+
+    return run
+
+
+jsonb_set, jsonb_insert, jsonb_replace = _binary(json_set), _binary(json_insert), _binary(json_replace)
+jsonb_remove, jsonb_patch, jsonb_array_insert = _binary(json_remove), _binary(json_patch), _binary(json_array_insert)
+
+
+def jsonb_array(*xs: Column) -> Column:
+    return F.parse_json(json_array(*xs))
+
+
+def jsonb_object(**members: Column) -> Column:
+    return F.parse_json(json_object(**members))
+
+
+def jsonb_group_array(x: Column, *order: Column) -> Column:
+    return F.parse_json(json_group_array(x, *order))
+
+
+def jsonb_group_object(key: Column, x: Column) -> Column:
+    return F.parse_json(json_group_object(key, x))

@@ -54,3 +54,24 @@ def closure(edges: DataFrame, source: str, target: str, roots: DataFrame, depth:
             break
         seen = settled(seen.unionByName(front))
     return seen
+
+
+def walk(edges: DataFrame, source: str, target: str, roots: DataFrame, depth_first: bool = True) -> DataFrame:
+    """(id, depth, path) of every path below the roots (one column), in the order of a recursion whose queue
+    is ordered: children by id, each node before its children (depth first) or level by level. A limit on
+    the result is the recursion's LIMIT. The edges must have no cycle."""
+    links = settled(edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).filter("_from is not null and _to is not null"))
+    found = settled(roots.toDF("id").select("id", F.lit(0).alias("depth"), F.array("id").alias("path")))
+    levels, front = [found], found
+    for level in range(1, ROUNDS + 1):
+        below = front.join(links, front["id"] == links["_from"])
+        front = settled(below.select(F.col("_to").alias("id"), F.lit(level).alias("depth"), F.concat("path", F.array("_to")).alias("path")))
+        if front.isEmpty():
+            break
+        levels.append(front)
+    else:
+        raise RuntimeError(f"more than {ROUNDS} rounds")
+    whole = levels[0]
+    for more in levels[1:]:
+        whole = whole.unionByName(more)
+    return whole.orderBy("path") if depth_first else whole.orderBy("depth", "path")

@@ -9,6 +9,7 @@ from ..functions import dates as D
 from ..functions import extras as X
 from ..functions import json_text as J
 from ..functions import scalar as S
+from ..functions import user as U
 from .registry import query
 from .tables import table
 
@@ -64,8 +65,20 @@ _select("strftime", "orders", "o_orderkey", "strftime(o_orderdate, '%d|%H|%j|%m|
         a=lambda: D.strftime("%d|%H|%j|%m|%M|%S|%Y|%%|%u|%w|%V|%G", c("o_orderdate")), b=lambda: D.strftime("on %Y/%m at %R", c("o_orderdate")), wk=lambda: D.strftime("%U-%W", c("o_orderdate")), h12=lambda: D.strftime("%I %p", c("o_orderdate")), bad=lambda: D.strftime("%Q", c("o_orderdate")))
 _select("date_parse", "nation", "n_nationkey", "strftime(TIMESTAMP '2024-01-31 10:20:30' + to_days(n_nationkey), '%Y-%m-%d %H:%M:%S') AS a, NULL AS bad, '2000-01-01 07:08:00' AS clock, '2024-03-02' AS julian",
         a=lambda: D.datetime(D.parse(F.concat(F.date_format(F.date_add(F.lit("2024-01-31").cast("date"), c("n_nationkey")), "yyyy-MM-dd"), F.lit("T10:20:30")))), bad=lambda: D.datetime(D.parse(F.lit("2024-13-45"))), clock=lambda: D.datetime(D.parse(F.lit("07:08"))), julian=lambda: D.date(D.from_julian(F.lit(2460371.5))))
-_select("timediff", "orders", "o_orderkey", "(CASE WHEN o_orderdate < TIMESTAMP '1995-06-15 00:00:00' THEN '-' ELSE '+' END) AS side, CAST(abs(date_diff('day', TIMESTAMP '1995-06-15 00:00:00', o_orderdate)) < 28 AS BOOLEAN) AS near",
-        side=lambda: F.substr(D.timediff(c("o_orderdate"), F.lit("1995-06-15").cast("timestamp_ntz")), F.lit(1), F.lit(1)), near=lambda: F.abs(F.datediff(c("o_orderdate").cast("date"), F.lit("1995-06-15").cast("date"))) < 28)
+# From the first of a month on, months never overflow, so that plain calendar arithmetic is an oracle.
+_LATER = "(o_orderdate + INTERVAL 400 DAY + INTERVAL 11045 SECOND)"
+_FIRST = "date_trunc('month', o_orderdate)"
+_SPAN = f"printf('%04d-%02d-%02d ', datesub('month', {_FIRST}, {_LATER}) // 12, datesub('month', {_FIRST}, {_LATER}) % 12, day({_LATER}) - 1) || strftime({_LATER}, '%H:%M:%S.%g')"
+_select("timediff", "orders", "o_orderkey", f"'+' || {_SPAN} AS ahead, '-' || {_SPAN} AS back, '+0000-00-00 00:00:00.000' AS same",
+        ahead=lambda: D.timediff(_later(), _first()), back=lambda: D.timediff(_first(), _later()), same=lambda: D.timediff(_first(), _first()))
+
+
+def _later():
+    return D.modified(c("o_orderdate"), "+400 days", "+11045 seconds")
+
+
+def _first():
+    return D.modified(c("o_orderdate"), "start of month")
 
 # --- JSON --------------------------------------------------------------------------------------------------
 
@@ -96,11 +109,56 @@ def json_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.explode(J.json_nodes(text)).alias("n")).select("event_id", "n.fullkey", "n.type")
 
 
+_select("json_arrow", "events", "event_id", "CAST(props->'$.k' AS VARCHAR) AS by_path, CAST(props->'$.k' AS VARCHAR) AS by_name, CAST(event_id AS VARCHAR) AS by_place, NULL AS missing, '{\"a\":\"x\"}' AS whole",
+        by_path=lambda: J.json_arrow(c("props"), F.lit("$.k")), by_name=lambda: J.json_arrow(c("props"), F.lit("k")), by_place=lambda: J.json_arrow(F.concat(F.lit("[0,"), c("event_id"), F.lit("]")), F.lit("1")), missing=lambda: J.json_arrow(c("props"), F.lit("none")), whole=lambda: J.json_arrow(F.lit('{"b":{"a":"x"}}'), F.lit("$.b")))
+_select("jsonb_edit", "events", "event_id", "'{\"k\":' || (props->>'$.k') || ',\"n\":' || user_id || '}' AS s, '{\"k\":0}' AS r, '{\"k\":' || (props->>'$.k') || '}' AS i, '{}' AS d, '{\"k\":' || (props->>'$.k') || ',\"z\":[1]}' AS p, '[1,' || event_id || ',2]' AS ai",
+        s=lambda: F.to_json(J.jsonb_set(J.jsonb(c("props")), F.lit("$.n"), c("user_id"))), r=lambda: F.to_json(J.jsonb_replace(J.jsonb(c("props")), F.lit("$.k"), F.lit(0))), i=lambda: F.to_json(J.jsonb_insert(J.jsonb(c("props")), F.lit("$.k"), F.lit(5))),
+        d=lambda: F.to_json(J.jsonb_remove(J.jsonb(c("props")), F.lit("$.k"))), p=lambda: F.to_json(J.jsonb_patch(J.jsonb(c("props")), F.lit('{"z":[1]}'))), ai=lambda: F.to_json(J.jsonb_array_insert(J.jsonb(F.lit("[1,2]")), F.lit("$[1]"), c("event_id"))))
+_select("jsonb_build", "nation", "n_nationkey", "'[' || n_nationkey || ',\"' || n_name || '\",null]' AS a, '{\"id\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' AS o",
+        a=lambda: F.to_json(J.jsonb_array(c("n_nationkey"), c("n_name"), F.lit(None).cast("string"))), o=lambda: F.to_json(J.jsonb_object(id=c("n_nationkey"), name=c("n_name"))))
+
+
+@query("jsonb_group", "SELECT n_regionkey, '[' || string_agg('\"' || n_name || '\"', ',' ORDER BY n_nationkey) || ']' AS a, CAST(max(n_nationkey) AS BIGINT) AS top FROM nation GROUP BY n_regionkey")
+def jsonb_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(J.jsonb_group_array(c("n_name"), c("n_nationkey")).alias("a"), J.jsonb_group_object(F.concat(F.lit("k"), "n_nationkey"), c("n_nationkey")).alias("o"))
+    values = F.map_values(F.from_json(F.to_json("o"), "map<string,bigint>"))
+    return groups.select("n_regionkey", F.to_json("a").alias("a"), F.array_max(values).alias("top"))
+
+
+# --- a user's own functions ------------------------------------------------------------------------------------
+
+
+@query("user_functions", "SELECT p_partkey, reverse(p_name) || '/' || p_size AS s, CAST(sum(p_size * p_size) OVER (PARTITION BY p_brand) AS BIGINT) AS squares FROM part")
+def user_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scalar function, and an aggregate over windows."""
+    U.register_scalar(spark, "quillon_backwards", lambda a, b: None if a is None or b is None else f"{a[::-1]}/{b}", "string")
+    U.register_aggregate(spark, "quillon_squares", lambda: 0, lambda s, v: s if v is None else s + v * v, int, "bigint")
+    return spark.sql("SELECT p_partkey, quillon_backwards(p_name, p_size) AS s, quillon_squares(p_size) OVER (PARTITION BY p_brand) AS squares FROM {part}", part=table(spark, sf_dir, "part"))
+
+
+@query("user_aggregate", "SELECT p_brand, CAST(sum(p_size * p_size) AS BIGINT) AS squares FROM part GROUP BY p_brand")
+def user_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    U.register_aggregate(spark, "quillon_squares", lambda: 0, lambda s, v: s if v is None else s + v * v, int, "bigint")
+    return spark.sql("SELECT p_brand, quillon_squares(p_size) AS squares FROM {part} GROUP BY p_brand", part=table(spark, sf_dir, "part"))
+
+
+@query("user_table_function", "SELECT n_nationkey, CAST(i AS INT) AS place, substr(n_name, CAST(i AS INT), 1) AS letter FROM nation, range(1, 100) r(i) WHERE i <= length(n_name)")
+def user_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    U.register_table(spark, "quillon_letters", lambda text: enumerate(text or "", 1), "place int, letter string")
+    return spark.sql("SELECT n_nationkey, t.place, t.letter FROM {nation}, LATERAL quillon_letters(n_name) t", nation=table(spark, sf_dir, "nation"))
+
+
 # --- other functions -------------------------------------------------------------------------------------------
 
 _select("hashes", "nation", "n_nationkey", "upper(sha1(n_name)) AS s1, upper(sha256(n_name)) AS s2, upper(md5(n_name)) AS m, to_base64(encode(n_name)) AS b",
         s1=lambda: F.upper(F.sha1("n_name")), s2=lambda: F.upper(F.sha2("n_name", 256)), m=lambda: F.upper(F.md5("n_name")), b=lambda: F.base64(c("n_name").cast("binary")))
-_select("sha3", "region", "r_regionkey", "'A7FFC6F8BF1ED76651C14756A061D662F580FF4DE43B49FA82D80A4B80F8434A' AS empty, CAST(64 AS BIGINT) AS digits", empty=lambda: F.hex(X.sha3(F.lit(""))), digits=lambda: F.length(F.hex(X.sha3(c("r_name")))).cast("bigint"))
+# SHA3-256 of the regions' names.
+_SHA3 = {
+    "AFRICA": "F8D4C0F33AA6751E95BD1BAB9F80816647F44DADA21DC94E38F97704DB611F8E", "AMERICA": "C1842D3BFBB77B6613009F4B999DECC2D2D794EA466D9EE9697F841AFD732618",
+    "ASIA": "FF13E5C59E26AF31811234D39850180502C68CAE21452CA7C254D93067831E80", "EUROPE": "CEC5358E37774A93373B4F087ED0087AB3567CE3F2636EB61C962BA739CE3A2C",
+    "MIDDLE EAST": "B7AEE87D6C34474097F56294F9B1ED618D880EBA7BC8CB2006DB68A11F5865DC",
+}
+_select("sha3", "region", "r_regionkey", "CASE r_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SHA3.items()) + " END AS h", h=lambda: F.hex(X.sha3(c("r_name"))))
 _select("round_trips", "nation", "n_nationkey", "n_name AS b85, n_name AS zip, CAST(n_nationkey AS DOUBLE) / 3 AS ieee, n_name AS rot",
         b85=lambda: X.unbase85(X.base85(c("n_name"))).cast("string"), zip=lambda: X.uncompress(X.compress(c("n_name"))).cast("string"), ieee=lambda: X.ieee754_from_blob(X.ieee754_to_blob(c("n_nationkey").cast("double") / 3)), rot=lambda: S.rot13(S.rot13(c("n_name"))))
 _select("ieee754_parts", "nation", "n_nationkey", "CAST(n_nationkey AS DOUBLE) * 0.5 AS back", back=lambda: X.ieee754_compose(X.ieee754_mantissa(c("n_nationkey") * 0.5), X.ieee754_exponent(c("n_nationkey") * 0.5)))

@@ -412,3 +412,18 @@ def rowid_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rtree_box", "SELECT c_custkey FROM customer WHERE c_custkey BETWEEN 100 AND 600 AND c_acctbal BETWEEN 0 AND 3000")
 def rtree_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").filter(F.col("c_custkey").between(100, 600) & F.col("c_acctbal").between(0, 3000)).select("c_custkey")
+
+
+def _queue(name: str, order: str, depth_first: bool) -> None:
+    """A recursion with ORDER BY and LIMIT over the customers, each below the one of a third of its number."""
+
+    @query(name, f"""WITH RECURSIVE edge AS (SELECT c_custkey AS child, c_custkey // 3 AS parent FROM customer WHERE c_custkey > 2),
+t(id, depth, path) AS (SELECT CAST(1 AS BIGINT), 0, [CAST(1 AS BIGINT)] UNION ALL SELECT child, depth + 1, list_append(path, child) FROM t JOIN edge ON parent = id) SELECT id, depth FROM t ORDER BY {order} LIMIT 25""")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        edges = table(spark, sf_dir, "customer").filter("c_custkey > 2").select(F.col("c_custkey").alias("child"), F.expr("c_custkey DIV 3").alias("parent"))
+        return R.walk(edges, "parent", "child", spark.createDataFrame([(1,)], "root bigint"), depth_first).select("id", "depth").limit(25)
+
+
+_queue("recursion_depth_first", "path", True)
+_queue("recursion_breadth_first", "depth, path", False)
+sql_query("cte_nested_with", "WITH a AS (WITH b AS (SELECT n_regionkey AS k, count(*) AS n FROM {nation} GROUP BY n_regionkey) SELECT k, n FROM b WHERE k > 0) SELECT r_name, n FROM a JOIN {region} ON k = r_regionkey")

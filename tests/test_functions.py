@@ -138,3 +138,17 @@ def test_queries_written_as_text(spark):
     for wrong in ("", "a OR", "(a", "a )", "none : a", "NEAR(a, b)", "a + ", "AND", "a & b"):
         with pytest.raises(M.QueryError):
             ids(wrong)
+
+
+def test_time_zones_and_now(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        t = spark.range(1).select(D.parse(F.lit("2024-07-01 12:00")).alias("t"), D.now().alias("now"))
+        got = t.select(D.datetime(D.modified(F.col("t"), "utc")), D.datetime(D.modified(F.col("t"), "localtime")), D.datetime(D.modified(F.col("t"), "utc", "localtime")), F.col("now")).first()
+        assert list(got)[:3] == ["2024-07-01 16:00:00", "2024-07-01 08:00:00", "2024-07-01 12:00:00"]
+        import datetime
+
+        assert abs(got[3] - datetime.datetime.now(datetime.UTC).replace(tzinfo=None)) < datetime.timedelta(minutes=2)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
