@@ -236,9 +236,15 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", widt
 # about 0.00002 (0.0003 for four shingles of five). Texts of one shard are candidates if a signature of
 # BINS least shingles, one of each range of hash values, agrees with the similarity up to MARGIN, seven
 # times its standard error at 0.8. The components of the candidates then get their members' whole sets
-# of shingles, and texts link if the Jaccard similarity of these is high enough.
+# of shingles, and texts link if the Jaccard similarity of these is high enough. A component of more than
+# BLOCK_SETS shingles is dealt to blocks: each finds the classes of its own members, and classes of
+# several blocks meet by their first members. Jaccard distance is a metric, so that two classes whose
+# first members are further apart than the radius and both reaches cannot link; the members of those
+# that are neither linked nor that far apart are compared, pair of classes by pair of classes.
 
 VIEWS, LEAST, BINS, MARGIN = 16, 3, 128, 0.25
+#: Shingles that a task aims to hold at a time when it compares sets (a single text may have more).
+BLOCK_SETS = 1 << 17
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
 
 
@@ -300,27 +306,70 @@ def estimated(signatures: np.ndarray, similarity: float) -> np.ndarray:
     return _classes(len(signatures), near)
 
 
-def confirmed(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """The first member of each member's class of sets (distinct values) linked by their exact Jaccard
-    similarity. Postings of each value count what a set shares with all others."""
+def _postings(sets: list[np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that tells how many values a set (distinct values) shares with each of the sets."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    ends = np.cumsum(sizes)
     values, number = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[np.argsort(number, kind="stable")]
     until = np.cumsum(np.bincount(number, minlength=len(values)))
 
-    def near(i: int, others: np.ndarray) -> np.ndarray:
-        shared = np.zeros(len(sets), dtype=np.int64)
-        mine = number[ends[i] - sizes[i] : ends[i]]
+    def shared(own: np.ndarray) -> np.ndarray:
+        count = np.zeros(len(sets), dtype=np.int64)
+        mine = np.searchsorted(values, own)
+        mine = mine[values[np.minimum(mine, len(values) - 1)] == own]
         from_, to = np.where(mine > 0, until[mine - 1], 0), until[mine]
         for at in range(0, len(mine), 64):
             n = (to - from_)[at : at + 64]
             place = np.arange(int(n.sum())) + np.repeat(from_[at : at + 64] - (np.cumsum(n) - n), n)
-            shared += np.bincount(owner[place], minlength=len(sets))
-        common = shared[others]
-        return common >= similarity * (sizes[i] + sizes[others] - common) - 1e-9
+            count += np.bincount(owner[place], minlength=len(sets))
+        return count
+
+    return shared
+
+
+def _alike(common: np.ndarray, union: np.ndarray, similarity: float) -> np.ndarray:
+    return common >= similarity * union - 1e-9
+
+
+def confirmed(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first member of each member's class of sets (distinct values) linked by their exact Jaccard
+    similarity, and a bound of its Jaccard distance from that: the length of a path of links."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    shared, far = _postings(sets), np.zeros(len(sets))
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        common = shared(sets[i])[others]
+        union = sizes[i] + sizes[others] - common
+        hit = _alike(common, union, similarity)
+        far[others[hit]] = far[i] + 1 - common[hit] / union[hit]
+        return hit
+
+    return _classes(len(sets), near), far
 
-    return _classes(len(sets), near)
+
+def headed(sets: list[np.ndarray], reach: np.ndarray, similarity: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Of classes, each by its first member's set and its members' greatest distance from that: a forest of
+    the links between first members, and the pairs in different trees that may link through other members."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    shared, forest, tree, open_ = _postings(sets), _Forest(len(sets)), [], []
+    for i in range(len(sets)):
+        common = shared(sets[i])[:i]
+        union = sizes[i] + sizes[:i] - common
+        hit = _alike(common, union, similarity)
+        tree += [(i, j) for j in np.flatnonzero(hit).tolist() if forest.join(i, j)]
+        wide = (reach[i] + reach[:i] > 0) & ~hit & (1 - common / union <= 1 - similarity + reach[i] + reach[:i] + 1e-9)
+        open_ += [(i, j) for j in np.flatnonzero(wide).tolist()]
+    return tree, [(i, j) for i, j in open_ if forest.root(i) != forest.root(j)]
+
+
+def across(some: list[np.ndarray], others: list[np.ndarray], similarity: float) -> bool:
+    """Whether a set of the one list links to one of the other."""
+    sizes, shared = np.array([len(s) for s in others], dtype=np.int64), _postings(others)
+    for one in some:
+        common = shared(one)
+        if _alike(common, len(one) + sizes - common, similarity).any():
+            return True
+    return False
 
 
 def sketches(df: DataFrame, text: str, keep: tuple[str, ...], width: int) -> DataFrame:
@@ -373,25 +422,112 @@ def _candidates(similarity: float):
     return run
 
 
-def _confirmed_runs(width: int, similarity: float):
-    """The class of each text within each component of candidates (rows are sorted by component)."""
+def _set_runs(batches: Iterator[pa.RecordBatch], width: int, by: str) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
+    """The runs of rows with one value of a column, with the sets of shingles in place of the texts."""
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingled() -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [np.unique(np.concatenate(list(shingle_hashes(t, width)))) for t in batch.column("text").to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("node"), pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(np.concatenate(sets)))], names=["component", "node", "set"])
+            whole = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(np.concatenate(sets)))
+            yield batch.drop_columns(["text"]).append_column("set", whole)
+
+    for held in _runs(shingled(), by):
+        yield pa.Table.from_batches([b.drop_columns(["set"]) for b in held]), [s.values.to_numpy() for b in held for s in b.column("set")]
+
+
+def _confirmed_runs(width: int, similarity: float):
+    """Each text's class within each block of candidates, and how far that reaches (rows sorted by block)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, sets in _set_runs(batches, width, "block"):
+            first, far = confirmed(sets, similarity)
+            reach = np.zeros(len(sets))
+            np.maximum.at(reach, first, far)
+            nodes = rows.column("node").combine_chunks()
+            yield pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(first)), pa.array(reach[first])], names=["node", "root", "reach"])
+
+    return run
+
+
+def _headed_runs(width: int, similarity: float):
+    """Links and open pairs of the classes whose first members meet (rows sorted by meeting)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, sets in _set_runs(batches, width, "meeting"):
+            nodes = rows.column("node").to_pylist()
+            tree, left = headed(sets, rows.column("reach").to_numpy(), similarity)
+            pairs = [(nodes[i], nodes[j], True) for i, j in tree] + [(nodes[i], nodes[j], False) for i, j in left]
+            if pairs:
+                a, b, sure = zip(*pairs, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(sure)], names=["a", "b", "sure"])
+
+    return run
+
+
+def _across_runs(width: int, similarity: float):
+    """The open pairs of classes that a link of other members joins (rows sorted by pair)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _runs(shingled(batches), "component"):
-            nodes = [n for b in held for n in b.column("node").to_pylist()]
-            first = confirmed([s.values.to_numpy() for b in held for s in b.column("set")], similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array([nodes[i] for i in first.tolist()], pa.string())], names=["node", "root"])
+        for rows, sets in _set_runs(batches, width, "pair"):
+            a, b, root = (rows.column(c).to_pylist() for c in ("a", "b", "root"))
+            some = [s for s, r in zip(sets, root, strict=True) if r == a[0]]
+            others = [s for s, r in zip(sets, root, strict=True) if r == b[0]]
+            if some and others and across(some, others, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array([a[0]]), pa.array([b[0]])], names=["a", "b"])
 
     return run
 
 
-def representatives(df: DataFrame, text: str = "text", doc: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def _sorted_by(df: DataFrame, *by: str) -> DataFrame:
+    return df.repartition(by[0]).sortWithinPartitions(*by)
+
+
+def in_blocks(members: DataFrame, block: int = BLOCK_SETS) -> DataFrame:
+    """The members of components of candidates (node, component, n shingles) with their block, and whether
+    their component is cut into several."""
+    sizes = materialize(members.groupBy("component").agg(F.sum("n").alias("_held")).filter(F.col("_held") > block))
+    blocks = F.coalesce(F.ceil(F.col("_held") / block), F.lit(1)).cast("long")
+    dealt = members.hint("merge").join(sizes.hint("merge"), "component", "left").withColumn("cut", F.col("_held").isNotNull())
+    found = materialize(dealt.withColumn("block", F.concat_ws("/", "component", F.pmod(F.xxhash64("node"), blocks))).drop("_held"))
+    discard(sizes)
+    return found
+
+
+def similar_classes(whole: DataFrame, width: int, similarity: float, block: int = BLOCK_SETS) -> DataFrame:
+    """(node, root), written: the class of each text (text, and the columns of in_blocks(); nodes are distinct)
+    among those of its component of candidates."""
+    own = materialize(_sorted_by(whole.select("block", "node", "text"), "block", "node").mapInArrow(_confirmed_runs(width, similarity), "node string, root string, reach double"))
+    inside = whole.filter("cut")
+    if inside.isEmpty():
+        reached = materialize(own.select("node", "root"))
+        discard(own)
+        return reached
+    # First members meet in pairs of parts, each part with the shingles of one block.
+    inside = materialize(inside.hint("merge").join(own.hint("merge"), "node"))
+    heads = materialize(inside.filter(F.col("node") == F.col("root")))
+    parts = materialize(heads.groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts")))
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    met = heads.hint("merge").join(parts.hint("merge"), "component").withColumn("mine", mine).select("component", "node", "reach", "text", "mine", other.alias("other"))
+    met = met.select(F.concat_ws("/", "component", F.least("mine", "other"), F.greatest("mine", "other")).alias("meeting"), "node", "reach", "text")
+    found = materialize(_sorted_by(met, "meeting", "node").mapInArrow(_headed_runs(width, similarity), "a string, b string, sure boolean"))
+    sure, left = found.filter("sure").select("a", "b"), found.filter(~F.col("sure")).select("a", "b").distinct()
+    joined = materialize(components(sure))
+    for end in ("a", "b"):
+        left = left.hint("merge").join(joined.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")).hint("merge"), end, "left")
+    left = materialize(left.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+    ends = left.select("a", "b", F.col("a").alias("root")).union(left.select("a", "b", F.col("b").alias("root")))
+    sides = inside.select("root", "node", "text").hint("merge").join(ends.hint("merge"), "root").withColumn("pair", F.concat_ws("/", "a", "b"))
+    more = _sorted_by(sides.select("pair", "a", "b", "root", "node", "text"), "pair", "node").mapInArrow(_across_runs(width, similarity), "a string, b string")
+    top = materialize(components(sure.union(more)))
+    classes = own.select("node", F.col("root").alias("own")).hint("merge").join(top.select(F.col("node").alias("own"), F.col("root").alias("top")).hint("merge"), "own", "left")
+    reached = materialize(classes.select("node", F.coalesce("top", "own").alias("root")))
+    discard(own, inside, heads, parts, found, joined, left, top)
+    return reached
+
+
+def representatives(df: DataFrame, text: str = "text", doc: str = "doc_id", width: int = 5, similarity: float = 0.8, block: int = BLOCK_SETS) -> DataFrame:
     """df with one row of each class of near-duplicates, that of the least id. Texts link if they share a
     view's shard, or others that lead from one to the other do, and their sets of shingles have that Jaccard
     similarity. Texts without a shingle (null, empty) are one class; of a class's rows with the least id, which
@@ -409,16 +545,16 @@ def representatives(df: DataFrame, text: str = "text", doc: str = "doc_id", widt
 
     alike = components(found.select(node("k1a", "fpa").alias("a"), node("k1b", "fpb").alias("b"))).withColumnRenamed("root", "component")
     named = texts.withColumn("node", node("k1", "fp"))
-    members = named.select("node", F.col("k1").alias("_k1"), F.col("least.k2").alias("_k2")).hint("merge").join(alike.hint("merge"), "node")
+    members = in_blocks(named.select("node", "n", F.col("k1").alias("_k1"), F.col("least.k2").alias("_k2")).hint("merge").join(alike.hint("merge"), "node"), block)
     whole = keyed.select("_k1", "_k2", F.col("text").cast("string").alias("text")).hint("merge").join(members.hint("merge"), ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
-    dealt = whole.select("component", "node", "text").repartition("component").sortWithinPartitions("component", "node")
-    reached = materialize(dealt.mapInArrow(_confirmed_runs(width, similarity), "node string, root string"))
+    whole = materialize(whole.select("component", "node", "n", "cut", "block", "text"))
+    reached = similar_classes(whole, width, similarity, block)
     classes = named.hint("merge").join(reached.hint("merge"), "node", "left")
     # Wordless texts have fingerprint 0 and no view; they are one class whatever their white space.
     root = F.when(F.col("n") == 0, F.lit("")).otherwise(F.coalesce("root", "node"))
     stay = classes.groupBy(root.alias("root")).agg(F.min(F.struct("least", "k1")).alias("best")).select(F.col("best.k1").alias("_k1"), F.col("best.least.k2").alias("_k2"))
     stay = materialize(stay)
-    discard(rows, texts, reached)
+    discard(rows, texts, members, whole, reached)
     kept = keyed.select("row", "_k1", "_k2").hint("merge").join(stay.hint("merge"), ["_k1", "_k2"])
     return kept.dropDuplicates(["_k1", "_k2"]).select("row.*")
 

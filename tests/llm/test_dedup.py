@@ -118,10 +118,42 @@ def test_confirmed_against_brute_force():
     base = [set(rng.integers(0, 2**62, 40).tolist()) for _ in range(4)]
     sets = [set(list(base[i % 4])[: rng.integers(25, 41)]) | set(rng.integers(0, 2**62, rng.integers(0, 12)).tolist()) for i in range(80)]
     links = [(i, j) for i in range(80) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
-    got = simhash.confirmed([np.array(sorted(s), dtype=np.uint64) for s in sets], 0.8)
+    got, far = simhash.confirmed([np.array(sorted(s), dtype=np.uint64) for s in sets], 0.8)
+    assert all(1 - len(sets[i] & sets[j]) / len(sets[i] | sets[j]) <= far[i] + 1e-9 for i, j in enumerate(got.tolist()))
     assert dict(enumerate(got.tolist())) == classes(range(80), links)
 
 
+def test_similar_classes_in_blocks_against_brute_force(spark):
+    # Chains of texts, each a few words on from the last, that link only step by step; hot components that
+    # are cut into many blocks, and small ones that are not.
+    rng = np.random.default_rng(12)
+    rows = []
+    for c, n in enumerate((150, 60, 40, 3)):
+        words = [f"c{c}w{i}" for i in range(60)]
+        for i in range(n):
+            if i % 3 or rng.random() < 0.5:
+                words[int(rng.integers(0, 60))] = f"c{c}n{i}"
+            if rng.random() < 0.08:
+                words[int(rng.integers(0, 50)) :][:10] = []
+                words[5:15] = [f"c{c}j{i}.{k}" for k in range(10)]
+            rows.append((f"c{c}", f"{c}.{i:03d}", max(1, len(words) - 4), " ".join(words)))
+    order = rng.permutation(len(rows)).tolist()
+    df = spark.createDataFrame([rows[i] for i in order], "component string, node string, n long, text string")
+    sets = {r[1]: set(zip(*(r[3].split()[k:] for k in range(5)))) for r in rows}
+    names = sorted(sets)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[:i] if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    want = classes(names, pairs)
+    assert len(set(want.values())) > 8
+    # Blocks of 2500 shingles leave pairs of classes that only other members link.
+    for block in (2500, 1 << 17):
+        root = {r["node"]: r["root"] for r in simhash.similar_classes(simhash.in_blocks(df, block), 5, 0.8, block).collect()}
+        assert sorted(root) == names
+        least = {}
+        for n in names:
+            least.setdefault(root[n], n)
+        assert {n: least[root[n]] for n in names} == want
+
+
 def naive_repeats(rows, window):
     words = [(i, t.encode().split() if t else []) for i, t, _ in rows]
     count = collections.Counter(tuple(w[j : j + window]) for _, w in words for j in range(len(w) - window + 1))
