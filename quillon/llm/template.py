@@ -1,27 +1,32 @@
 """Main text of HTML pages by equivalence classes of tokens.
 
 Every begin and end of an element is a token, told apart by its path with the names of class and id. A
-host's template is deduced from its SAMPLE pages of least key that differ in their html. Tokens with the
-same occurrence vector (how often each page has them) form an equivalence class; a class is valid if its
-tokens come in one order on every page, again and again as often as they occur, and if its spans nest in
-one slot of the classes around or lie beside them. The valid classes make a tree: the template, whose slots
-hold what differs between pages. The article is found by descending from the outermost element along the
-elements that the template has once on every page: into the one whose slots hold most (DOMINANT) of the
-running text of all sampled pages. An article or main element is a hint only: it is entered where no other
-element dominates, and the descent ends at an article. Headings right before the element that is reached
-belong to it. A block with the same text in the same slot on every sampled page is part of the template and
-goes, unless a page would be left with nothing or fewer than CONSTANT pages tell.
-
-The template is then applied to all of the host's pages, so that a page's text depends on its own html and
-on its host's sample alone. A page without the template's article, or of a host whose sample has a single
-page, is its own template. Inside the article, scripts, styles, markup and elements that are menus, forms,
-notices or comments by element, role or a whole class or id name go; nothing else. Block elements separate
-blocks, character references are decoded, white space becomes one space, blocks are joined by two newlines.
+host's template is deduced from all of its pages that differ in their html: no page is left out, and copies
+count once. Tokens with the same occurrence vector (how often each page has them) form an equivalence class.
+Since an element's begin and end come in turn and open elements are closed from the inside, both are of one
+class, and the spans of elements that a page has once nest as their paths tell. The elements that at least
+SUPPORT of the pages have once, and that next to no page (REPEATED) has again, make the template, a tree
+whose slots hold what differs between pages. The article is found by descending from the outermost element
+along them: into the one whose slots hold most (DOMINANT) of the running text of all pages. An article or
+main element is a hint only: it is entered where no other element dominates, and the descent ends at an
+article. Headings right before the element that is reached belong to it. A block with the same text on every
+page that has text in its slot is part of the template and goes, if CONSTANT pages and SUPPORT of those with
+text in the article tell, and unless the page would be left with nothing.
+
+All that the template is deduced from are sums over pages and intersections of sets (Evidence). Those of the
+hosts that several tasks extract are added up by all tasks first; the pages of any other host are read by one
+task, which keeps them in a local file meanwhile.
+
+The template is then applied to all of the host's pages. A page without the template's article, or of a host
+with a single page, is its own template. Inside the article, scripts, styles, markup and elements that are
+menus, forms, notices or comments by element, role or a whole class or id name go; nothing else. Block
+elements separate blocks, character references are decoded, white space becomes one space, blocks are joined
+by two newlines.
 
 Defined results: null and empty html give ''; markup that never ends runs to the end of the page; a null
 page_id or url is kept, pages without a host are of one host ''; pages of any length are read whole; repeated
-rows are extracted once each; of sampled pages with equal keys any order gives the same template; an empty
-table gives no rows. Other columns, whatever their names, are ignored.
+rows are extracted once each; any order of the pages gives the same template; an empty table gives no rows.
+Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +35,8 @@ import hashlib
 import html as entities
 import pickle
 import re
-from collections import Counter, defaultdict
+import tempfile
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,11 +47,14 @@ from pyspark.sql import types as T
 
 from .common import arrow_schema, discard, materialize, slices
 
-#: Pages of a host from which its template is deduced; a host with more than one in HOT pages is dealt to
-#: several tasks.
-SAMPLE, HOT = 24, 1000
-#: Share of an element's text that one inside must hold to be entered; pages that must agree on a constant.
-DOMINANT, CONSTANT = 0.7, 8
+#: A host with more than one in HOT pages, and more than FEW, is dealt to several tasks.
+HOT, FEW = 1000, 96
+#: Share of an element's text that one inside must hold to be entered; pages that must agree on a constant;
+#: shares of pages that must have an element of the template, and that may have it more than once.
+DOMINANT, CONSTANT, SUPPORT, REPEATED = 0.7, 8, 0.9, 0.01
+#: Bytes of a host's pages that a task holds in memory, paths of all hosts whose sums it holds, and most
+#: copied pages that are looked up by a broadcast.
+HELD, PATHS, TWINS = 1 << 24, 50_000, 100_000
 # HTML's elements by what they do to a text.
 RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "select", "option", "title", "head")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -218,7 +227,8 @@ class Class:
 
 
 def classes_of(pages: list[Page]) -> list[Class]:
-    """The ordered classes of the tokens that every page has, by the tokens' first places."""
+    """The ordered classes of the tokens that every page has, by the tokens' first places. This and nested()
+    look at all places of a few pages; Evidence has the classes of a whole host from sums, and tests compare."""
     places: dict[str, list[list[int]]] = {}
     for k, page in enumerate(pages):
         for at, token in enumerate(page.tokens):
@@ -307,7 +317,7 @@ class Template:
         return kept or [b[2] for b in own]
 
     def fits(self, page: Page) -> bool:
-        return any(t in self.region for t in page.tokens)
+        return self.region[-1] in page.tokens
 
 
 def _within(path: str, parts: tuple[str, ...]) -> bool:
@@ -318,65 +328,116 @@ def _mark(block: tuple[int, str, str, bool, int]) -> bytes:
     return hashlib.blake2b(f"{block[1]}\0{block[2]}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def deduce(pages: list[Page]) -> Template:
-    """The template of some pages of a host."""
-    once = {t for c in nested(classes_of(pages)) if all(len(p) == len(c.tokens) for p in c.places) for t in c.tokens}
-    elements = [t for t in pages[0].tokens if not t.startswith(">") and t in once and f">{t}" in once]
-    hints = set.union(*(p.hints for p in pages))
-    weights: Counter = Counter()
-    for page in pages:
-        for _, path, text, unwanted, linked in page.blocks:
+class Evidence:
+    """What all pages of a host say of its template, for each path ("" for the whole page): sums, and the marks
+    of the blocks that every page with a block at the path has.
+
+    The sums are: pages that have the path, that have it more than once, its occurrence vector (times a random
+    number for each page, so that equal sums are equal vectors), first places, running text inside, all text
+    inside, linked text inside, pages with text inside, pages with a block right at it."""
+
+    def __init__(self) -> None:
+        self.sums: dict[str, list[int]] = {}
+        self.marks: dict[str, set[bytes]] = {}
+        self.hints: set[str] = set()
+
+    def add(self, page: Page, number: int, weight: int = 1) -> None:
+        """Count a page; a negative weight takes back copies of it."""
+        own: dict[str, list[int]] = {"": [1, 0, 0, 0, 0, 0, 0, 0, 0]}
+        for at, token in enumerate(page.tokens):
+            if token[0] != ">":
+                if sums := own.get(token):
+                    sums[1], sums[2] = 1, sums[2] + number
+                else:
+                    own[token] = [1, 0, number, at, 0, 0, 0, 0, 0]
+        marks: dict[str, set[bytes]] = {}
+        lengths: dict[str, list[int]] = {}
+        for block in page.blocks:
+            _, path, text, unwanted, linked = block
             if not unwanted:
-                weights[path] += max(0, len(text) - 2 * min(linked, len(text)))
-    inside: Counter = Counter()
-    for path, weight in weights.items():
-        at = path
-        while at:
-            inside[at] += weight
-            at = at.rpartition("/")[0]
-        inside[""] += weight
-    children: dict[str, list[str]] = defaultdict(list)
-    known = set(elements)
-    for e in elements:
-        up = e.rpartition("/")[0]
-        while up and up not in known:
-            up = up.rpartition("/")[0]
-        children[up].append(e)
-    here, region = "", ()
-    while True:
-        below, total = children[here], inside[here]
-        heavy = [e for e in below if total and inside[e] >= DOMINANT * total]
-        hinted = [e for e in below if e in hints] or [e for e in below if any(h.startswith(f"{e}/") for h in hints & known)]
-        if here in hints and not any(e in hints for e in heavy):
-            break
-        to = heavy[0] if heavy else hinted[0] if len(hinted) == 1 else None
-        if to is None:
-            break
-        # Headings right before the element that is entered stay with it; an article has its own.
-        before, heads = below[: below.index(to)], []
-        while before and before[-1].rpartition("/")[2].split(".")[0] in HEADINGS:
-            heads.append(before.pop())
-        region = () if to in hints else (*region, *heads)
-        here = to
-    region = (*region, here)
-    plain, menus = Template(region), ()
-    if here not in hints:
-        # Without a hint, elements of the template whose text is links for the most part are menus.
-        sizes, links = Counter(), Counter()
-        for page in pages:
-            for _, path, text, _, linked in plain.own(page):
-                for e in elements:
-                    if e != here and path.startswith(here) and _within(path, (e,)):
-                        sizes[e] += len(text)
-                        links[e] += min(linked, len(text))
-        menus = tuple(e for e in elements if e.startswith(f"{here}/") and links[e] > 0.5 * sizes[e])
-    constant: frozenset[bytes] = frozenset()
-    marks = [m for p in pages if (m := {_mark(b) for b in plain.own(p)})]
-    if len(marks) >= CONSTANT:
-        common = frozenset.intersection(*map(frozenset, marks))
-        if all(m - common for m in marks):
-            constant = common
-    return Template(region, menus, constant)
+                marks.setdefault(path, set()).add(_mark(block))
+                length, found = len(text), lengths.setdefault(path, [0, 0, 0])
+                linked = min(linked, length)
+                found[0] += max(0, length - 2 * linked)
+                found[1] += length
+                found[2] += linked
+        for path, found in lengths.items():
+            own[path][8] = 1
+            at = path
+            while True:
+                sums = own[at]
+                sums[4] += found[0]
+                sums[5] += found[1]
+                sums[6] += found[2]
+                sums[7] = 1
+                if not at:
+                    break
+                at = at.rpartition("/")[0]
+        for path, sums in own.items():
+            self.sums[path] = [a + weight * b for a, b in zip(self.sums[path], sums, strict=True)] if path in self.sums else [weight * b for b in sums]
+        for path, found in marks.items():
+            self.marks[path] = self.marks[path] & found if path in self.marks else found
+        self.hints |= page.hints
+
+    @property
+    def pages(self) -> int:
+        return self.sums[""][0] if "" in self.sums else 0
+
+    def classes(self) -> list[list[str]]:
+        """The frequent equivalence classes of the elements that pages have once, each in the order of places."""
+        vectors: dict[tuple[int, int], list[str]] = defaultdict(list)
+        for path, (pages, again, vector, *_) in self.sums.items():
+            if path and pages >= SUPPORT * self.pages and again <= REPEATED * self.pages:
+                vectors[pages, vector].append(path)
+        return [sorted(paths, key=self._place) for paths in vectors.values()]
+
+    def _place(self, path: str) -> tuple[float, str]:
+        return self.sums[path][3] / self.sums[path][0], path
+
+    def template(self) -> Template:
+        elements = sorted((path for paths in self.classes() for path in paths), key=self._place)
+        sums, known = self.sums, set(elements)
+        children: dict[str, list[str]] = defaultdict(list)
+        for e in elements:
+            up = e.rpartition("/")[0]
+            while up and up not in known:
+                up = up.rpartition("/")[0]
+            children[up].append(e)
+        around = {h[:at] for h in self.hints & known for at, c in enumerate(h) if c == "/"}
+        here, region = "", ()
+        while True:
+            below, total = children[here], sums[here][4]
+            heavy = [e for e in below if total and sums[e][4] >= DOMINANT * total]
+            hinted = [e for e in below if e in self.hints] or [e for e in below if e in around]
+            if here in self.hints and not any(e in self.hints for e in heavy):
+                break
+            to = heavy[0] if heavy else hinted[0] if len(hinted) == 1 else None
+            if to is None:
+                break
+            # Headings right before the element that is entered stay with it; an article has its own.
+            before, heads = below[: below.index(to)], []
+            while before and before[-1].rpartition("/")[2].split(".")[0] in HEADINGS:
+                heads.append(before.pop())
+            region = () if to in self.hints else (*region, *heads)
+            here = to
+        region, menus = (*region, here), ()
+        if here not in self.hints:
+            # Without a hint, elements of the template whose text is links for the most part are menus.
+            menus = tuple(e for e in elements if e.startswith(f"{here}/") and sums[e][6] > 0.5 * sums[e][5])
+        constant: set[bytes] = set()
+        for path, marks in self.marks.items():
+            part = next((r for r in region if _within(path, (r,))), None)
+            if marks and part is not None and path in sums and sums[path][8] >= max(CONSTANT, SUPPORT * sums[part][7]):
+                constant |= marks
+        return Template(region, menus, frozenset(constant))
+
+
+def deduce(pages: list[Page]) -> Template:
+    """The template of pages that differ."""
+    found = Evidence()
+    for k, page in enumerate(pages):
+        found.add(page, k + 1)
+    return found.template()
 
 
 def main_blocks(page: Page, template: Template | None) -> list[str]:
@@ -386,26 +447,46 @@ def main_blocks(page: Page, template: Template | None) -> list[str]:
     return template.blocks(page)
 
 
-def host_template(htmls: list[str]) -> Template | None:
-    """The template of a host's sampled pages; None where it has fewer than two."""
-    return deduce([Page(h) for h in htmls]) if len(htmls) > 1 else None
+def _number(html: str) -> int:
+    """A number that tells pages apart in sums of occurrence vectors; 24 bits, so that sums stay longs."""
+    return int.from_bytes(hashlib.blake2b(html.encode("utf-8", "surrogatepass"), digest_size=3).digest(), "big")
 
 
-class Sample:
-    """The first pages of a host that differ: SAMPLE, or those among its first 4 * SAMPLE pages."""
+class Host:
+    """The evidence of a host's pages, of copies one, and the pages: in memory, or in a file if they are many."""
 
     def __init__(self) -> None:
-        self.pages: list[str] = []
-        self.seen = 0
+        self.evidence, self.seen = Evidence(), set()
+        self.held = tempfile.SpooledTemporaryFile(HELD)  # noqa: SIM115
+
+    def add(self, html: str | None, kept: dict | None = None) -> None:
+        pickle.dump((kept, html), self.held)
+        if html and html.strip():
+            digest = hashlib.blake2b(html.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            if digest not in self.seen:
+                self.seen.add(digest)
+                self.evidence.add(Page(html), _number(html))
+
+    def template(self) -> Template | None:
+        """None where fewer than two pages differ."""
+        return self.evidence.template() if self.evidence.pages > 1 else None
+
+    def pages(self) -> Iterator[tuple[dict | None, str | None]]:
+        self.held.seek(0)
+        while True:
+            try:
+                yield pickle.load(self.held)
+            except EOFError:
+                self.held.close()
+                return
 
-    def add(self, html: str | None) -> None:
-        self.seen += 1
-        if html and html.strip() and html not in self.pages:
-            self.pages.append(html)
 
-    @property
-    def full(self) -> bool:
-        return len(self.pages) >= SAMPLE or self.seen >= 4 * SAMPLE
+def host_template(htmls: list[str]) -> Template | None:
+    """The template of a host's pages; None where fewer than two differ."""
+    host = Host()
+    for html in htmls:
+        host.add(html)
+    return host.template()
 
 
 def extract(df: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id", "url"), result: str = "text") -> DataFrame:
@@ -417,49 +498,46 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", keep: tuple[str
     # One row for each host, and a count; the hosts with more than one in HOT of all pages are fewer than HOT.
     counts = materialize(rows.groupBy("_host").count())
     total = counts.agg(F.sum("count")).first()[0] or 0
-    hot = {r["_host"]: r["count"] for r in counts.filter(F.col("count") * HOT > total).select("_host", "count").collect() if r["count"] > 4 * SAMPLE}
+    hot = {r["_host"]: r["count"] for r in counts.filter(F.col("count") * HOT > total).select("_host", "count").collect() if r["count"] > FEW}
     discard(counts)
-    templates = _hot_templates(rows, hot) if hot else {}
+    templates = _hot_templates(rows, [*hot]) if hot else {}
     salts = {h: -(-n * HOT // total) for h, n in hot.items()}
     schema = T.StructType([df.schema[c] for c in names] + [T.StructField(result, T.StringType()), T.StructField("n_chars", T.LongType())])
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pages in the order of host and key: the first of a host are its sample."""
-        held: list[tuple[dict, str | None]] = []
-        sample, last, known = Sample(), None, None
+        """Pages in the order of hosts: those of a host without a template wait until all are counted."""
+        host, last = None, None
         ready: list[tuple[dict, str]] = []
 
-        def flush() -> None:
-            nonlocal known, sample
-            known = (host_template(sample.pages),)
-            ready.extend((kept, "\n\n".join(main_blocks(Page(h), known[0]))) for kept, h in held)
-            held.clear()
-            sample = Sample()
-
         def finish() -> pa.RecordBatch:
             arrays = [pa.array([kept[c] for kept, _ in ready], out.field(c).type) for c in names]
             texts = [t for _, t in ready]
             ready.clear()
             return pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=out)
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = host.template()
+            for kept, page in host.pages():
+                ready.append((kept, "\n\n".join(main_blocks(Page(page), found))))
+                if len(ready) == 64:
+                    yield finish()
+
         for batch in slices(batches, 64):
             for kept, page, where in zip(*(batch.column(c).to_pylist() for c in ("_kept", "_html", "_host")), strict=True):
-                if where != last:
-                    if held:
-                        flush()
-                    last, known = where, (templates[where],) if where in templates else None
-                if known is not None:
-                    ready.append((kept, "\n\n".join(main_blocks(Page(page), known[0]))))
+                if where != last and host is not None:
+                    yield from flush()
+                    host = None
+                last = where
+                if where in templates:
+                    ready.append((kept, "\n\n".join(main_blocks(Page(page), templates[where]))))
                     continue
-                held.append((kept, page))
-                sample.add(page)
-                if sample.full:
-                    flush()
+                host = host or Host()
+                host.add(page, kept)
             if ready:
                 yield finish()
-        if held:
-            flush()
+        if host is not None:
+            yield from flush()
         if ready:
             yield finish()
 
@@ -469,25 +547,53 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", keep: tuple[str
     return dealt.mapInArrow(run, schema)
 
 
-def _hot_templates(rows: DataFrame, hot: dict[str, int]) -> dict[str, Template | None]:
-    """The templates of the hosts whose pages several tasks extract, from the pages of least key that a single
-    task would read first: of each host about 8 * SAMPLE keys, of which 4 * SAMPLE are enough, pass."""
-    share = F.element_at(F.create_map(*[x for h, n in hot.items() for x in (F.lit(h), F.lit(min(1.0, 8 * SAMPLE / n)))]), F.col("_host"))
-    place = F.col("_key").cast("double") / F.lit(2.0**64) + F.lit(0.5)
-    drawn = rows.filter(F.col("_host").isin(list(hot)) & (place < share)).select("_host", "_html", "_key")
+_SUMS = ("pages", "again", "vector", "places", "running", "size", "linked", "filled", "blocks")
+
+
+def _hot_templates(rows: DataFrame, hot: list[str]) -> dict[str, Template | None]:
+    """The templates of the hosts whose pages several tasks extract, from all of their pages that differ: the
+    tasks add up the evidence of the pages that they read, and that of further copies is taken away again."""
+    pages = rows.filter(F.col("_host").isin(hot) & F.col("_html").isNotNull()).select("_host", "_html", F.md5("_html").alias("_md5"))
+    twins = materialize(pages.groupBy("_host", "_md5").agg((1 - F.count(F.lit(1))).alias("_weight")).filter("_weight < 0"))
+    weighed = pages.select("_host", "_html", F.lit(1).cast("long").alias("_weight"))
+    if many := twins.count():
+        copies = pages.join(F.broadcast(twins) if many <= TWINS else twins.hint("merge"), ["_host", "_md5"])
+        weighed = weighed.union(copies.dropDuplicates(["_host", "_md5"]).select("_host", "_html", "_weight"))
+    schema = "_host string, path string, hint boolean, marks array<binary>, " + ", ".join(f"{c} long" for c in _SUMS)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hosts: dict[str, Evidence] = defaultdict(Evidence)
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            for where, e in hosts.items():
+                paths = [*e.sums]
+                marks = pa.array([[*e.marks[p]] if p in e.marks else None for p in paths], pa.list_(pa.binary()))
+                sums = [pa.array(s, pa.int64()) for s in zip(*e.sums.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([where] * len(paths)), pa.array(paths), pa.array([p in e.hints for p in paths]), marks, *sums], names=["_host", "path", "hint", "marks", *_SUMS])
+            hosts.clear()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sample, found = None, Sample(), []
         for batch in slices(batches, 64):
-            for where, page in zip(batch.column("_host").to_pylist(), batch.column("_html").to_pylist(), strict=True):
-                if where != last:
-                    found.append((where, None))
-                    last, sample = where, Sample()
-                if not sample.full:
-                    sample.add(page)
-                    found[-1] = (where, sample)
-        for where, sample in found:
-            yield pa.RecordBatch.from_arrays([pa.array([where]), pa.array([pickle.dumps(host_template(sample.pages))], pa.binary())], names=["host", "template"])
-
-    found = drawn.repartition("_host").sortWithinPartitions("_host", "_key").mapInArrow(run, "host string, template binary").collect()
-    return {r["host"]: pickle.loads(r["template"]) for r in found}
+            for where, html, weight in zip(*(batch.column(c).to_pylist() for c in ("_host", "_html", "_weight")), strict=True):
+                if html.strip():
+                    hosts[where].add(Page(html), _number(html), weight)
+            if sum(len(e.sums) for e in hosts.values()) > PATHS:
+                yield from finish()
+        yield from finish()
+
+    common = F.reduce(F.collect_list("marks"), F.lit(None).cast("array<binary>"), lambda a, b: F.coalesce(F.array_intersect(a, b), b))
+    added = weighed.mapInArrow(add, schema).groupBy("_host", "path").agg(F.max("hint").alias("hint"), common.alias("marks"), *[F.sum(c).alias(c) for c in _SUMS])
+    added = materialize(added)
+    several = {r["_host"]: r["pages"] for r in added.filter("path = '' AND pages > 1").select("_host", "pages").collect()}
+    found: dict[str, Evidence] = defaultdict(Evidence)
+    if several:
+        # Paths that fewer pages have are no elements of the template, and no slots of constants.
+        least = F.element_at(F.create_map(*[x for h, n in several.items() for x in (F.lit(h), F.lit(n))]), F.col("_host"))
+        for r in added.filter(F.col("_host").isin([*several]) & (F.col("pages") >= SUPPORT * least)).collect():
+            e = found[r["_host"]]
+            e.sums[r["path"]] = [r[c] for c in _SUMS]
+            if r["marks"]:
+                e.marks[r["path"]] = {bytes(m) for m in r["marks"]}
+            if r["hint"]:
+                e.hints.add(r["path"])
+    discard(twins, added)
+    return {h: found[h].template() if h in found else None for h in hot}

@@ -279,3 +279,49 @@ def test_hot_hosts_have_the_template_of_one_task(spark, monkeypatch):
     monkeypatch.setattr(template, "HOT", 1)
     whole = {r["page_id"]: r["text"] for r in template.extract(df).collect()}
     assert cut == whole == {i: "\n\n".join(w) for i, w in enumerate(want)} | {1000 + i: "lone" for i in range(30)}
+
+
+def test_evidence_has_the_classes_of_all_pages():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        shape = [str(rng.choice(["<div id=a>{}</div>", "<ul>{}</ul>", "<p>{}</p>", "<b>x</b>", "<i>y</i>"])) for _ in range(5)]
+        pages = [template.Page("<html><body>" + "".join(s.replace("{}", "".join(rng.choice(["<li>a</li>", "<em>q</em>", "text"], int(rng.integers(0, 4))))) for s in rng.permutation(shape)) + "</body></html>") for _ in range(5)]
+        evidence, halves = template.Evidence(), [template.Evidence(), template.Evidence()]
+        for k, page in enumerate(pages):
+            evidence.add(page, 1000**k)
+            halves[k % 2].add(page, 1000**k)
+            evidence.add(page, 1000**k)
+            evidence.add(page, 1000**k, -1)
+        once = {t for t in pages[0].tokens if t[0] != ">" and all(p.tokens.count(t) == 1 for p in pages)}
+        assert {t for c in evidence.classes() for t in c} == once
+        nested = [c for c in template.nested(template.classes_of(pages)) if all(len(p) == len(c.tokens) for p in c.places)]
+        assert {t for c in nested for t in c.tokens if t[0] != ">"} <= once
+        for path, sums in evidence.sums.items():
+            # The sums of parts add up, and a copy that is taken back leaves no trace.
+            assert sums == [sum(x) for x in zip(*(h.sums.get(path, [0] * 9) for h in halves), strict=True)]
+            if path:
+                assert sums[2] == sum(p.tokens.count(path) * 1000**k for k, p in enumerate(pages))
+
+
+def test_a_template_comes_from_all_pages():
+    pages, want = bare_pages(30)
+    later, wanted = bare_pages(170, 1)
+    # What the first 30 pages have in common is text, since the later ones differ there.
+    later = [h.replace("More from us every week", f"Ending {i}") for i, h in enumerate(later)]
+    want = [[*w, "More from us every week"] for w in want] + [[*w, f"Ending {i}"] for i, w in enumerate(wanted)]
+    assert extracted(pages + later) == want
+    # Many pages without text and an odd page do not hide it either.
+    pages, want = bare_pages(200)
+    assert extracted([" "] * 150 + pages + ["<p>odd</p>"]) == [[]] * 150 + want + [["odd"]]
+
+
+def test_copies_count_once_in_a_template(spark, monkeypatch):
+    pages, want = bare_pages(120, 2)
+    pages, want = [*pages, *["<html><body><p>gone</p></body></html>"] * 400, *[pages[0]] * 9, None, " "], [*want, *[["gone"]] * 400, *[want[0]] * 9, [], []]
+    df = spark.createDataFrame([(i, f"http://one.x/{i}", h) for i, h in enumerate(pages)] + [(1000 + i, f"http://h{i}.x/", "<p>lone</p>") for i in range(30)], "page_id long, url string, html string")
+    expected = {i: "\n\n".join(w) for i, w in enumerate(want)} | {1000 + i: "lone" for i in range(30)}
+    assert {r["page_id"]: r["text"] for r in template.extract(df).collect()} == expected
+    monkeypatch.setattr(template, "TWINS", 0)
+    assert {r["page_id"]: r["text"] for r in template.extract(df).collect()} == expected
+    monkeypatch.setattr(template, "HOT", 1)
+    assert {r["page_id"]: r["text"] for r in template.extract(df).collect()} == expected
