@@ -230,31 +230,33 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", widt
 
 
 # --- similar texts ----------------------------------------------------------------------------------
-# Beyond a few bits, triangle bounds prune nothing among 64-bit fingerprints. Similar texts share their
-# least shingles in many orders, though: each of VIEWS orders deals a text to the shard of its LEAST
-# least shingles. A pair with a Jaccard similarity of 0.8 misses all 16 shards with a probability of
-# about 0.00002 (0.0003 for four shingles of five). Texts of one shard are candidates if a signature of
-# BINS least shingles, one of each range of hash values, agrees with the similarity up to MARGIN, seven
-# times its standard error at 0.8. The components of the candidates then get their members' whole sets
-# of shingles, and texts link if the Jaccard similarity of these is high enough.
-
-VIEWS, LEAST, BINS, MARGIN = 16, 3, 128, 0.25
+# Candidates are texts with near fingerprints, here of the set of shingles, since how often a text repeats
+# one does not matter for a Jaccard similarity. Those within a few bits are found as above, by the
+# vantage-point tree over all fingerprints. A similarity of 0.8 allows for more bits: 10 of 64 are expected,
+# 12 if four of five shingles are shared, and WIDE are exceeded by about one of a million such pairs. At
+# that radius triangle bounds prune nothing, so that such texts are looked for where they share their least
+# shingles in one of many orders: each of VIEWS orders deals a text to the shard of its LEAST least shingles.
+# A pair with a similarity of 0.8 misses all 16 shards with a probability of about 0.00002 (0.0003 for four
+# shingles of five). Texts of one shard are candidates if their fingerprints differ in WIDE bits at most and
+# a signature of BINS least shingles, one of each range of hash values, agrees with the similarity up to
+# MARGIN, seven times its standard error at 0.8. The components of the candidates then get their members'
+# whole sets of shingles, and texts link if the Jaccard similarity of these is high enough.
+
+VIEWS, LEAST, BINS, MARGIN, WIDE = 16, 3, 128, 0.25, 28
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
 
 
 def _sketch(text: str | None, width: int) -> tuple[int, int, list[int], bytes]:
-    """Fingerprint, number of shingles, shard of each view and signature of a text."""
+    """Fingerprint of the set of shingles, number of shingles, shard of each view and signature of a text."""
     blocks = list(shingle_hashes(text, width))
     if not blocks:
         return 0, 0, [], bytes(BINS)
-    total, counts, least = 0, np.zeros(64, dtype=np.int64), np.empty((VIEWS, 0), dtype=np.uint64)
+    total, counts, least = sum(map(len, blocks)), np.zeros(64, dtype=np.int64), np.empty((VIEWS, 0), dtype=np.uint64)
     lowest = np.full(BINS, 2**64 - 1, dtype=np.uint64)
     factors = (np.arange(VIEWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
-    for h in blocks:
-        total += len(h)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    # A view is of the set of shingles: how often a text repeats one does not matter.
     ordered = np.unique(np.concatenate(blocks))
+    for at in range(0, len(ordered), BLOCK):
+        counts += np.unpackbits(ordered[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     at = np.searchsorted(ordered, _EDGES)
     there = np.flatnonzero(at < len(ordered))
     there = there[ordered[at[there]] >> np.uint64(57) == there.astype(np.uint64)]
@@ -268,7 +270,7 @@ def _sketch(text: str | None, width: int) -> tuple[int, int, list[int], bytes]:
     for k in range(least.shape[1]):
         key = (key ^ least[:, k]) * np.uint64(0xBF58476D1CE4E5B9)
         key ^= key >> np.uint64(29)
-    fp = int(((counts * 2 > total).astype(np.uint64) << _BITS).sum(dtype=np.uint64))
+    fp = int(((counts * 2 > len(ordered)).astype(np.uint64) << _BITS).sum(dtype=np.uint64))
     # One byte of each bin's least value, 0 for an empty bin.
     signature = np.where(lowest == np.uint64(2**64 - 1), 0, lowest % np.uint64(255) + np.uint64(1)).astype(np.uint8)
     return fp, total, key.view(np.int64).tolist(), signature.tobytes()
@@ -287,14 +289,17 @@ def _classes(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarra
     return first
 
 
-def estimated(signatures: np.ndarray, similarity: float) -> np.ndarray:
-    """The first member of each member's class of texts whose signatures may have that similarity."""
+def estimated(points: np.ndarray, signatures: np.ndarray, similarity: float) -> np.ndarray:
+    """The first member of each member's class of texts whose fingerprints (points) differ in WIDE bits at most
+    and whose signatures may have that similarity."""
 
     def near(i: int, others: np.ndarray) -> np.ndarray:
-        a, out = signatures[i], np.empty(len(others), dtype=bool)
-        for at in range(0, len(others), BLOCK):
-            b = signatures[others[at : at + BLOCK]]
-            out[at : at + BLOCK] = ((a == b) & (a > 0)).sum(axis=1) >= (similarity - MARGIN) * ((a > 0) | (b > 0)).sum(axis=1)
+        out = _distance(points[others], points[i]) <= WIDE
+        a, close = signatures[i], np.flatnonzero(out)
+        for at in range(0, len(close), BLOCK):
+            some = close[at : at + BLOCK]
+            b = signatures[others[some]]
+            out[some] = ((a == b) & (a > 0)).sum(axis=1) >= (similarity - MARGIN) * ((a > 0) | (b > 0)).sum(axis=1)
         return out
 
     return _classes(len(signatures), near)
@@ -364,7 +369,8 @@ def _candidates(similarity: float):
             rows = pa.Table.from_batches(held)
             if rows.num_rows < 2:
                 continue
-            first = estimated(np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, BINS), similarity)
+            points = rows.column("fp").to_numpy().view(np.uint64)
+            first = estimated(points, np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, BINS), similarity)
             j = np.flatnonzero(first != np.arange(len(first)))
             if len(j):
                 k1, fp = (rows.column(c).to_numpy() for c in ("k1", "fp"))
@@ -391,10 +397,28 @@ def _confirmed_runs(width: int, similarity: float):
     return run
 
 
-def representatives(df: DataFrame, text: str = "text", doc: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """df with one row of each class of near-duplicates, that of the least id. Texts link if they share a
-    view's shard, or others that lead from one to the other do, and their sets of shingles have that Jaccard
-    similarity. Texts without a shingle (null, empty) are one class; of a class's rows with the least id, which
+def _close(texts: DataFrame, radius: int, shard: int) -> DataFrame:
+    """Links of texts (columns k1, fp, n) whose fingerprints the vantage-point tree finds within the radius, equal
+    ones among them. They lead over nodes of fingerprints; wordless texts take no part."""
+    texts = texts.filter("n > 0").select("k1", "fp")
+    distinct = materialize(texts.groupBy("fp").agg(F.count(F.lit(1)).alias("_m")))
+    near = materialize(links(distinct.select("fp"), radius, shard=shard))
+    met = near.select(F.col("a").alias("fp")).union(near.select("b")).union(distinct.filter("_m > 1").select("fp")).distinct()
+    found = materialize(
+        texts.hint("merge").join(met.hint("merge"), "fp").select(_node("k1", "fp").alias("a"), _node(None, "fp").alias("b")).union(near.select(_node(None, "a"), _node(None, "b")))
+    )
+    discard(distinct, near)
+    return found
+
+
+def _node(k: str | None, fp: str) -> Column:
+    return F.concat(F.hex(k) if k else F.lit(""), F.lit("-"), F.hex(fp))
+
+
+def representatives(df: DataFrame, text: str = "text", doc: str = "doc_id", width: int = 5, similarity: float = 0.8, radius: int = 2, shard: int = SHARD) -> DataFrame:
+    """df with one row of each class of near-duplicates, that of the least id. Texts link if their fingerprints
+    are within the radius, or within WIDE bits in a view's shard, or others that lead from one to the other
+    are, and their sets of shingles have that Jaccard similarity. Texts without a shingle (null, empty) are one class; of a class's rows with the least id, which
     may repeat, one stays; a class without any id keeps one row."""
     keyed = df.select(F.struct(*quoted(df.columns)).alias("row"), F.col(text).alias("text"), F.col(doc).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_k1"), F.xxhash64(doc).alias("_k2"))
     rows = materialize(sketches(keyed.select("text", "id", F.col("_k1").alias("k1"), F.col("_k2").alias("k2")), "text", ("id", "k1", "k2"), width))
@@ -403,12 +427,9 @@ def representatives(df: DataFrame, text: str = "text", doc: str = "doc_id", widt
     shared = views.select("view").groupBy("view").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("view")
     met = views.hint("merge").join(shared.hint("merge"), "view").repartition("view").sortWithinPartitions("view")
     found = met.mapInArrow(_candidates(similarity), "k1a long, fpa long, k1b long, fpb long")
-
-    def node(k: str, fp: str) -> Column:
-        return F.concat(F.hex(k), F.lit("-"), F.hex(fp))
-
-    alike = components(found.select(node("k1a", "fpa").alias("a"), node("k1b", "fpb").alias("b"))).withColumnRenamed("root", "component")
-    named = texts.withColumn("node", node("k1", "fp"))
+    close = _close(texts, radius, shard)
+    alike = components(found.select(_node("k1a", "fpa").alias("a"), _node("k1b", "fpb").alias("b")).union(close)).withColumnRenamed("root", "component")
+    named = texts.withColumn("node", _node("k1", "fp"))
     members = named.select("node", F.col("k1").alias("_k1"), F.col("least.k2").alias("_k2")).hint("merge").join(alike.hint("merge"), "node")
     whole = keyed.select("_k1", "_k2", F.col("text").cast("string").alias("text")).hint("merge").join(members.hint("merge"), ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
     dealt = whole.select("component", "node", "text").repartition("component").sortWithinPartitions("component", "node")
@@ -418,7 +439,7 @@ def representatives(df: DataFrame, text: str = "text", doc: str = "doc_id", widt
     root = F.when(F.col("n") == 0, F.lit("")).otherwise(F.coalesce("root", "node"))
     stay = classes.groupBy(root.alias("root")).agg(F.min(F.struct("least", "k1")).alias("best")).select(F.col("best.k1").alias("_k1"), F.col("best.least.k2").alias("_k2"))
     stay = materialize(stay)
-    discard(rows, texts, reached)
+    discard(rows, texts, close, reached)
     kept = keyed.select("row", "_k1", "_k2").hint("merge").join(stay.hint("merge"), ["_k1", "_k2"])
     return kept.dropDuplicates(["_k1", "_k2"]).select("row.*")
 

@@ -122,6 +122,57 @@ def test_confirmed_against_brute_force():
     assert dict(enumerate(got.tolist())) == classes(range(80), links)
 
 
+def shingles(text):
+    w = text.split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_representatives_come_from_near_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(300):
+        words = [f"w{k}" for k in rng.integers(0, 10**6, 600)]
+        other = [*words]
+        other[int(rng.integers(600))] = "changed"
+        rows += [(2 * i, " ".join(words), "a"), (2 * i + 1, " ".join(other), "a")]
+    # The same set of shingles in another text, and a text without any word.
+    rows += [(700, "a b c d e f " * 20, "a"), (701, "a b c d e f " * 30, "a"), (702, " ", "a"), (703, None, "a")]
+    sets = {i: shingles(t) if t and t.strip() else set() for i, t, _ in rows}
+    hashes = {i: [xxhash.xxh64_intdigest(s.encode(), 42) for s in x] for i, x in sets.items()}
+    fp = {i: sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) for i, h in hashes.items()}
+    pairs = [(i, i + 1) for i in range(0, 704, 2) if i in fp]
+    # Without the shards of least shingles, the vantage-point tree alone finds those within two bits.
+    monkeypatch.setattr(simhash, "_candidates", lambda similarity: lambda batches: iter(()))
+    got = {r["doc_id"] for r in simhash.representatives(spark.createDataFrame(rows, SHAPE), shard=100).collect()}
+    near = {b for a, b in pairs if (fp[a] ^ fp[b]).bit_count() <= 2}
+    assert {701, 703} <= near and 50 < len(near) < 290
+    assert got == set(fp) - near
+    monkeypatch.undo()
+    got = {r["doc_id"] for r in simhash.representatives(spark.createDataFrame(rows, SHAPE)).collect()}
+    assert got == set(fp) - {b for _, b in pairs}
+
+
+def test_candidates_have_near_fingerprints():
+    signatures = np.ones((4, simhash.BINS), dtype=np.uint8)
+    points = np.array([0, 2**simhash.WIDE - 1, 2**64 - 1, 2**64 - 2], dtype=np.uint64)
+    assert simhash.estimated(points, signatures, 0.8).tolist() == [0, 0, 2, 2]
+    # Pairs of the least sets with a similarity of 0.8 differ most; none is lost.
+    rng = np.random.default_rng(8)
+    for _ in range(2000):
+        words = [f"w{k}" for k in rng.integers(0, 10**6, 9)]
+        a, b = (simhash._sketch(" ".join(words[:n]), 5)[0] for n in (8, 9))
+        assert (a ^ b).bit_count() <= simhash.WIDE
+
+
+def test_repeats_do_not_move_a_fingerprint(spark):
+    rng = np.random.default_rng(13)
+    rows = []
+    for i in range(40):
+        words = [f"w{k}" for k in rng.integers(0, 10**6, 400)]
+        rows += [(2 * i, " ".join(words), "a"), (2 * i + 1, " ".join(words + words[-20:] * 200), "a")]
+    assert sorted(r["doc_id"] for r in simhash.representatives(spark.createDataFrame(rows, SHAPE)).collect()) == list(range(0, 80, 2))
+
+
 def naive_repeats(rows, window):
     words = [(i, t.encode().split() if t else []) for i, t, _ in rows]
     count = collections.Counter(tuple(w[j : j + window]) for _, w in words for j in range(len(w) - window + 1))
