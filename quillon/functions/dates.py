@@ -8,6 +8,7 @@ modifier floor asks for the last day. The session's time zone plays no part.
 from __future__ import annotations
 
 import re
+from datetime import timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,21 +22,22 @@ SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
 
 def _micros(t: Column) -> Column:
-    """Microseconds since 1970 of a time value."""
-    days = F.datediff(t.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-    second = F.hour(t) * 3600 + F.minute(t) * 60
-    fraction = F.extract(F.lit("SECOND"), t) * F.lit(1_000_000)
-    return days * DAY + second.cast("long") * 1_000_000 + F.round(fraction).cast("long")
+    """Microseconds since 1970 of a time value. Here and in _ahead the value stands once, so that nested values stay small."""
+    return ((t.cast("timestamp_ntz") - _epoch()).cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("long")
 
 
 def from_micros(m: Column) -> Column:
     """The time value of microseconds since 1970."""
-    day = F.floor(m / DAY).cast("int")
-    # make_timestamp_ntz splits the rest without a zone.
-    rest = m - day.cast("long") * DAY
-    date = F.date_add(F.lit("1970-01-01").cast("date"), day)
-    second = (rest % 60_000_000).cast("decimal(20,6)") / F.lit(1_000_000).cast("decimal(20,0)")
-    return F.make_timestamp_ntz(F.year(date), F.month(date), F.dayofmonth(date), F.floor(rest / 3_600_000_000).cast("int"), (F.floor(rest / 60_000_000) % 60).cast("int"), second.cast("decimal(16,6)"))
+    return _ahead(_epoch(), m)
+
+
+def _ahead(t: Column, m: Column | int) -> Column:
+    """The time value m microseconds later."""
+    return F.timestamp_add("MICROSECOND", F.lit(m).cast("long"), t.cast("timestamp_ntz"))
+
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01").cast("timestamp_ntz")
 
 
 def parse(text: Column) -> Column:
@@ -80,23 +82,23 @@ def modified(t: Column, *modifiers: str) -> Column:
         if found := _AMOUNT.match(m):
             amount, unit = float(found[1]), found[2]
             if unit in SECONDS:
-                t = from_micros(_micros(t) + int(round(amount * SECONDS[unit] * 1_000_000)))
+                t = _ahead(t, int(round(amount * SECONDS[unit] * 1_000_000)))
             else:
                 t = _months(t, int(amount) * (12 if unit == "year" else 1), floor)
         elif found := _CLOCK.match(m):
             n = (int(found[2]) * 3600 + int(found[3]) * 60 + int(found[4] or 0)) * 1_000_000 + int((found[5] or "0").ljust(6, "0")[:6])
-            t = from_micros(_micros(t) + (n if found[1] == "+" else -n))
+            t = _ahead(t, n if found[1] == "+" else -n)
         elif found := _SPAN.match(m):
             side = 1 if found[1] == "+" else -1
             t = _months(t, side * (int(found[2]) * 12 + int(found[3])), floor)
             n = (int(found[4]) * 86400 + int(found[5] or 0) * 3600 + int(found[6] or 0) * 60 + int(found[7] or 0)) * 1_000_000
-            t = from_micros(_micros(t) + side * n)
+            t = _ahead(t, side * n)
         elif m.startswith("start of "):
             part = {"day": "DD", "month": "MM", "year": "YEAR"}[m[9:]]
             t = F.date_trunc(part, t).cast("timestamp_ntz")
         elif m.startswith("weekday "):
             ahead = (F.lit(int(m[8:])) - (F.dayofweek(t) - 1) + 7) % 7
-            t = from_micros(_micros(t) + ahead.cast("long") * DAY)
+            t = _ahead(t, ahead.cast("long") * DAY)
         else:
             raise ValueError(f"unknown modifier {m!r}")
     return t
@@ -163,37 +165,21 @@ def strftime(form: str, t: Column) -> Column:
 
 
 def timediff(a: Column, b: Column) -> Column:
-    """The span +YYYY-MM-DD HH:MM:SS.SSS that leads from b to a."""
-
-    def ahead(t: Column, n: Column) -> Column:
-        first = F.add_months(F.trunc(t.cast("date"), "MM"), n)
-        day = F.date_add(first, F.dayofmonth(t) - 1)
-        return F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * DAY + F.pmod(_micros(t), F.lit(DAY))
-
-    # Each step binds its results as a lambda's argument; written out, they would repeat a and b hundreds of times.
-    def ordered(r: Column) -> Column:
-        return F.struct(F.greatest(r["a"], r["b"]).alias("later"), F.least(r["a"], r["b"]).alias("earlier"), (r["a"] < r["b"]).alias("back"))
-
-    def whole_months(r: Column) -> Column:
-        months = (F.year(r["later"]) - F.year(r["earlier"])) * 12 + F.month(r["later"]) - F.month(r["earlier"])
-        return F.struct(r["later"].alias("later"), r["earlier"].alias("earlier"), r["back"].alias("back"), months.alias("months"))
-
-    def remainder(r: Column) -> Column:
-        months = r["months"] - F.when(ahead(r["earlier"], r["months"]) > _micros(r["later"]), 1).otherwise(0)
-        return F.struct(r["later"].alias("later"), r["earlier"].alias("earlier"), r["back"].alias("back"), months.alias("months"))
-
-    def rest(r: Column) -> Column:
-        return F.struct(r["back"].alias("back"), r["months"].alias("months"), (_micros(r["later"]) - ahead(r["earlier"], r["months"])).alias("rest"))
-
-    def text(r: Column) -> Column:
-        two = lambda x, n=2: F.lpad(x.cast("string"), n, "0")
-        part = lambda unit, most: F.floor(r["rest"] / unit) % most
-        return F.concat(
-            F.when(r["back"], "-").otherwise("+"), two(F.floor(r["months"] / 12), 4), F.lit("-"), two(r["months"] % 12), F.lit("-"), two(F.floor(r["rest"] / DAY)), F.lit(" "),
-            two(part(3_600_000_000, 24)), F.lit(":"), two(part(60_000_000, 60)), F.lit(":"), two(part(1_000_000, 60)), F.lit("."), two(part(1000, 1000), 3),
-        )
-
-    steps = F.array(F.struct(a.alias("a"), b.alias("b")))
-    for step in (ordered, whole_months, remainder, rest, text):
-        steps = F.transform(steps, step)
-    return F.when(a.isNotNull() & b.isNotNull(), F.get(steps, 0))
+    """The span +YYYY-MM-DD HH:MM:SS.SSS that leads from b to a as a modifier: b moves by whole months into
+    the month of a, or as few months short of it as keep it from passing a; the rest is days and time."""
+    a, b = a.cast("timestamp_ntz"), b.cast("timestamp_ntz")
+    back, first = a < b, lambda t: F.trunc(t.cast("date"), "MM")
+    apart, days = F.abs(a - b), lambda n: F.lit(timedelta(days=1)) * n
+    # What is left after whole months between the months of both; below 0 if b has then passed a.
+    gap = apart - days(F.abs(F.datediff(first(a), first(b))))
+    # Going on, b can be a day that the month before a does not have: 31 January and 1 March.
+    far = gap + days(F.dayofmonth(F.date_sub(first(a), 1))) < timedelta(0)
+    short = F.when(gap >= timedelta(0), 0).when(back, -1).when(far, 2).otherwise(1)
+    rest = apart - days(F.abs(F.datediff(F.add_months(first(a), -short), first(b))))
+    months = F.abs((F.year(a) - F.year(b)) * 12 + F.month(a) - F.month(b)) - F.abs(short)
+    two = lambda x, n=2: F.lpad(x.cast("string"), n, "0")
+    part = lambda unit: F.extract(F.lit(unit), rest)
+    return F.concat(
+        F.when(back, "-").otherwise("+"), two(F.floor(months / 12), 4), F.lit("-"), two(months % 12), F.lit("-"), two(part("DAY")), F.lit(" "),
+        two(part("HOUR")), F.lit(":"), two(part("MINUTE")), F.lit(":"), F.substring(two(part("SECOND"), 9), 1, 6),
+    )

@@ -1,5 +1,7 @@
 """Golden values of functions that the tables don't exercise."""
 
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,50 @@ def test_dates(spark):
     assert one(spark, D.unixepoch(F.lit("1969-12-31 23:59:59").cast("timestamp_ntz"))) == -1
 
 
+def spanned(a, b):
+    """The reference's loop, over datetimes: b moves by whole months into the month of a, then back until it does not pass a."""
+    month = lambda t: t.year * 12 + t.month - 1
+    moved = lambda m: datetime(m // 12, m % 12 + 1, 1) + (b - datetime(b.year, b.month, 1))
+    side, m, steps = 1 if a >= b else -1, month(a), abs(month(a) - month(b))
+    while side * (a - moved(m)) < timedelta(0):
+        m, steps = m - side, steps - 1
+    rest = abs(a - moved(m))
+    clock = str(datetime(2000, 1, 1) + timedelta(seconds=rest.seconds, microseconds=rest.microseconds) + timedelta(microseconds=1))[11:]
+    return f"{'+' if side > 0 else '-'}{steps // 12:04}-{steps % 12:02}-{rest.days:02} {clock[:12]}"
+
+
+def test_timediff(spark):
+    days = ["1999-01-31", "1999-12-31", "2000-01-29", "2000-01-31", "2000-02-28", "2000-02-29", "2000-03-01", "2000-03-02", "2000-03-31", "2001-01-31", "2001-03-01", "2023-02-15", "1969-07-20", "1066-10-14"]
+    times = [datetime.fromisoformat(d) + timedelta(hours=h, milliseconds=ms) for d in days for h, ms in ((0, 0), (23, 3_599_999), (12, 34_567))]
+    pairs = [(a, b) for a in times for b in times] + [(None, times[0]), (times[0], None)]
+    found = spark.createDataFrame(pairs, "a timestamp_ntz, b timestamp_ntz").select("a", "b", D.timediff(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r for r in found if r.d != (r.a and r.b and spanned(r.a, r.b))] == []
+    known = {("2000-03-02", "2000-01-31"): "+0000-01-00", ("2000-01-31", "2000-03-02"): "-0000-01-02", ("1999-01-31", "2000-03-02"): "-0001-01-02", ("2001-03-01", "2001-01-31"): "+0000-00-29"}
+    for (a, b), want in known.items():
+        assert one(spark, D.timediff(F.lit(a).cast("timestamp_ntz"), F.lit(b).cast("timestamp_ntz"))) == want + " 00:00:00.000"
+
+
+def test_time_values_stay_small_when_nested(spark):
+    t = F.col("id").cast("timestamp").cast("timestamp_ntz")
+    nested = D.timediff(D.modified(t, *["+1 day", "-02:03", "+5 seconds"] * 3), D.modified(t, "start of month", "+90 minutes"))
+    plan = spark.range(3).select(nested.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert len(plan) < 200_000
+    assert len(spark.range(3).select(D.unixepoch(D.modified(t, *["+1 day"] * 6)).alias("x"))._jdf.queryExecution().analyzed().toString()) < 5_000
+
+
+def test_time_values_ignore_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        t = F.lit("2024-03-10 01:59:59.999999").cast("timestamp_ntz")  # clocks there jump from 2 to 3
+        assert one(spark, D._micros(D.modified(t, "+30 minutes"))) == 1_710_037_799_999_999
+        assert one(spark, D.from_micros(F.lit(1_710_037_799_999_999)).cast("string")) == "2024-03-10 02:29:59.999999"
+        assert one(spark, D.timediff(D.modified(t, "+2 hours"), t)) == "+0000-00-00 02:00:00.000"
+        assert one(spark, D._micros(F.lit("0001-01-01 00:00:00.000001").cast("timestamp_ntz"))) == -62_135_596_799_999_999
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_json(spark):
     assert one(spark, J.json_extract(F.lit('{"a":[1,2,{"b":"x"}]}'), F.lit("$.a[#-1].b"))) == "x"
     assert one(spark, J.json_extract(F.lit('{"a":1,"b":true}'), F.lit("$.a"), F.lit("$.c"))) == "[1,null]"
