@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import aggregates as A
+from ..operators import bands as B
 from ..operators import changes as C
 from ..operators import percentiles as P
 from ..operators import recursion as R
@@ -141,8 +142,13 @@ sql_query("join_cross", "SELECT r_name, n FROM {region} CROSS JOIN (VALUES (1),
 sql_query("join_using", "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM {nation}) x JOIN (SELECT s_suppkey AS k, s_name AS b FROM {supplier}) y USING (k)")
 sql_query("join_full_using", "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM {nation}) x FULL JOIN (SELECT s_suppkey + 10 AS k, s_name AS b FROM {supplier}) y USING (k)")
 sql_query("join_natural", "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM {nation}) x NATURAL JOIN (SELECT r_regionkey AS k, r_name AS b FROM {region}) y")
-# A band of whole numbers is an equi-join of the values that lie in it.
-sql_query("join_theta_range", "SELECT count(*) AS n, CAST(sum(a.p_partkey) AS BIGINT) AS s FROM {part} a JOIN (SELECT p_partkey AS k, explode(sequence(p_size - 1, p_size + 1)) AS z FROM {part}) b ON a.p_size = b.z AND a.p_partkey < b.k", "SELECT count(*) AS n, CAST(sum(a.p_partkey) AS BIGINT) AS s FROM part a JOIN part b ON a.p_size BETWEEN b.p_size - 1 AND b.p_size + 1 AND a.p_partkey < b.p_partkey")
+
+
+@query("join_theta_range", "SELECT count(*) AS n, CAST(sum(a.p_partkey) AS BIGINT) AS s FROM part a JOIN part b ON a.p_size BETWEEN b.p_size - 1 AND b.p_size + 1 AND a.p_partkey < b.p_partkey")
+def join_theta_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.band_pairs(table(spark, sf_dir, "part"), "p_size", "p_partkey")
+
+
 sql_query("intersect_all", "SELECT p_size AS k FROM {part} INTERSECT ALL SELECT s_nationkey AS k FROM {supplier}", "SELECT k FROM (SELECT p_size AS k, row_number() OVER (PARTITION BY p_size) AS n FROM part) a WHERE n <= (SELECT count(*) FROM supplier WHERE s_nationkey = k)")
 sql_query("except_all", "SELECT p_size AS k FROM {part} EXCEPT ALL SELECT s_nationkey AS k FROM {supplier}", "SELECT k FROM (SELECT p_size AS k, row_number() OVER (PARTITION BY p_size) AS n FROM part) a WHERE n > (SELECT count(*) FROM supplier WHERE s_nationkey = k)")
 sql_query("join_self", "SELECT a.n_name AS x, b.n_name AS y FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")

@@ -9,9 +9,11 @@ from quillon.functions import dates as D
 from quillon.functions import extras as X
 from quillon.functions import json_text as J
 from quillon.functions import scalar as S
+from quillon.operators import bands as B
 from quillon.operators import changes as C
 from quillon.operators import match as M
 from quillon.operators import search as Q
+from quillon.plans import registry
 from quillon.sources import tables as T
 
 
@@ -119,6 +121,26 @@ def test_json(spark):
     assert one(spark, J.json_type(F.lit('{"a":1.5}'), F.lit("$.a"))) == "real"
 
 
+def test_band_pairs(spark):
+    rows = [(z, k) for z in (-3, -2, -1, 0, 1, 4, None) for k in (-(2**63), -(2**44) - 1, -1, 0, 1, 5, 5, 2**22 - 1, 2**22, 2**44 + 7, 2**63 - 1, None)] + [(1, 5)] * 3
+    for width in (0, 1, 2):
+        pairs = [a[1] for a in rows for b in rows if None not in a + b and abs(a[0] - b[0]) <= width and a[1] < b[1]]
+        small = [a[1] for a in rows for b in rows if None not in a + b and abs(a[0] - b[0]) <= width and a[1] < b[1] and abs(a[1]) < 2**50]
+        df = spark.createDataFrame(rows, "z int, k long")
+        assert B.band_pairs(df, "z", "k", width).select("n").first()[0] == len(pairs)
+        assert B.band_pairs(df.filter((F.abs(F.col("k").cast("decimal(20,0)")) < 2**50) | (F.col("k") == 2**63 - 1)), "z", "k", width).first()[1] == sum(small)
+    assert tuple(B.band_pairs(df.limit(0), "z", "k").first()) == (0, None)
+    assert tuple(B.band_pairs(df.filter("k = 5"), "z", "k").first()) == (0, None)
+
+
+def test_band_pairs_are_not_built(spark):
+    n = 300_000
+    many = spark.range(n).select(F.lit(7).alias("z"), F.col("id").alias("k"))
+    assert tuple(B.band_pairs(many, "z", "k").first()) == (n * (n - 1) // 2, sum(k * (n - 1 - k) for k in range(n)))
+    plan = registry.queries()["join_theta_range"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_polygons(spark):
     box = F.lit("[[0,0],[4,0],[4,2],[0,2],[0,0]]")
     assert one(spark, X.geopoly_area(box)) == 8.0
